@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import words
+from .shared import cut, words
 
 #: Bins of the seeded hash within a size class.
 BINS = 1 << 10
@@ -48,7 +48,7 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: float = 3.0) -> Da
     return filled.withColumn("target", target).select(*sources.columns, "target")
 
 
-def _cuts(key, bins: pd.DataFrame) -> pd.DataFrame:
+def _cuts(bins: pd.DataFrame) -> pd.DataFrame:
     """For one source: the bin from which a class's documents are not sampled."""
     left = float(bins["target"].iloc[0]) - int(bins["whole"].iloc[0]) * float(bins["source_size"].iloc[0])
     share = left / max(float(bins["source_size"].iloc[0]), 1.0)
@@ -87,12 +87,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
         .groupBy("key")
         .agg(F.map_from_entries(F.collect_list(F.struct("size_class", "cut"))).alias("cuts"))
     )
-    plan = named.join(cuts, "key").select("key", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "cuts")
+    # One row a source; written, its size is known, and Spark broadcasts it or not by that.
+    plan = cut(named.join(cuts, "key").select(F.col("key").alias("_mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("_mix_whole"), F.col("cuts").alias("_mix_cuts")), "mix-plan")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit(""))
-    taken = F.col("whole") + F.when(F.col("mix_bin") < F.try_element_at(F.col("cuts"), F.col("mix_class")), 1).otherwise(0)
-    return sized.withColumn("key", key).join(plan, "key").withColumn("mix_times", F.least(taken, F.lit(int(max_epochs))).cast("long")).drop("key", "mix_class", "mix_bin", "whole", "cuts")
+    taken = F.col("_mix_whole") + F.when(F.col("mix_bin") < F.try_element_at(F.col("_mix_cuts"), F.col("mix_class")), 1).otherwise(0)
+    return sized.withColumn("_mix_key", key).join(plan, "_mix_key").withColumn("mix_times", F.least(taken, F.lit(int(max_epochs))).cast("long")).drop("_mix_key", "mix_class", "mix_bin", "_mix_whole", "_mix_cuts")
 
 
 def repeat_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixed.where("mix_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    return mixed.where("mix_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))).alias("_mix_copy")).drop("_mix_copy")
