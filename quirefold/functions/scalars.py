@@ -129,11 +129,11 @@ def comparable(text: Column | str) -> Column:
 def sentences(text: Column | str) -> Column:
     """Sentences of a text: page marks removed, split after a full stop, exclamation or question mark, or at a blank line."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\[Page \d+\]", " "), r"(?<=[.!?])\s+|\n\s*\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\[Page \d+\]", " "), r"(?<=[.!?])\s+|\n\s*\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def bounded_confidence(value: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("double"))), F.lit(0.5))
+    return F.when(value.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("double"))))
 
 
 def unit_of(label: Column) -> Column:
@@ -167,7 +167,7 @@ def card_value(raw: Column, label: Column) -> Column:
 
 def json_span(text: Column) -> Column:
     """The JSON of a reply: code fences stripped, else the outermost object or array; null if none parses."""
-    bare = F.trim(F.regexp_replace(text, r"(?s)^\s*```(json)?|```\s*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)^\s*```(json)?|```\s*$", ""), r"^\s+|\s+$", "")
     span = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
     return F.when(F.try_parse_json(bare).isNotNull(), bare).when((span != "") & F.try_parse_json(span).isNotNull(), span)
 

@@ -77,7 +77,7 @@ def split_pages(documents: DataFrame, target: int = VIRTUAL_PAGE) -> DataFrame:
     mark = r"<!--\s*page-start-marker-(\d+)\s*-->"
     clean = documents.select("document_id", unescaped(F.coalesce("text", F.lit(""))).alias("text"))
     numbers = F.transform(F.regexp_extract_all("text", F.lit(mark), 1), lambda n: n.cast("int"))
-    bodies = F.transform(F.slice(F.split("text", mark), 2, 1 << 30), F.trim)
+    bodies = F.transform(F.slice(F.split("text", mark), 2, 1 << 30), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
     marked = clean.where(F.col("text").rlike(mark)).select("document_id", F.posexplode(F.arrays_zip(numbers.alias("n"), bodies.alias("t"))).alias("at", "p"))
     first = marked.select("document_id", "at", F.col("p.n").alias("page_number"), F.col("p.t").alias("text")).withColumn("k", F.row_number().over(W.partitionBy("document_id", "page_number").orderBy("at"))).where("k = 1")
 
