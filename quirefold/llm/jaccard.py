@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import components
-from .shared import buckets_for, cut, text_bytes_total
+from .shared import buckets_for, cut, slices, text_bytes_total
 from .substring import _pack, _unpack
 
 #: Words in a shingle; similarity in hundredths; shingles sent at once and in a bucket; classes in a tile; bins of the suffix filter.
@@ -75,7 +75,7 @@ def _describe(width: int):
 
     def run(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for _, at, keys in shingler.sets(batch.column("text")):
                 rows += [(b - a, *(_digest(keys[a:b]) if b > a else (None, None))) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -110,7 +110,7 @@ def _send_sets(width: int, buckets: int):
             found = list(_blocks_of(np.array(refs, np.int64).reshape(-1, 2), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(held), buckets, False)) if held else []
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for _, at, keys in shingler.sets(batch.column("text")):
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     if b > a and (digest := _digest(keys[a:b])) not in seen:
@@ -154,7 +154,7 @@ def _send_survivors(width: int, buckets: int):
 
     def run(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             ids, d1, d2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "d1", "d2"))
             for first, at, keys in shingler.sets(batch.column("text")):
                 # Rows that share an id but not the text of their class's first document drop out here.
@@ -184,7 +184,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
 
 def _rank(batches):
     """Shingles rare first (ties by hash), and the prefix's shared ones."""
-    for batch in batches:
+    for batch in slices(batches):
         ranked, prefix, sizes = [], [], []
         for parts in batch.column("parts").to_pylist():
             keys = np.concatenate([np.frombuffer(p["keys"], np.uint64) for p in parts])

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import worker_cache
+from .shared import slices, worker_cache
 
 #: Fixed patterns of the base kinds, in their order.
 KINDS = ("assign", "access", "hex", "novel")
@@ -92,7 +92,7 @@ def find_secrets(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
 def _scan(batches):
     novelty = worker_cache(("novelty",), Novelty)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in slices(batches):
         found = [[{"kind": k, "start": a, "end": z} for k, a, z in find_secrets(t, novelty)] if t else [] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "secrets"])
 

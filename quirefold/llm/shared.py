@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,26 @@ def buckets_for(items: int, each: int, least: int) -> int:
     return max(least, -(-items // each))
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices of so many rows, so that what a worker makes of them stays small; freed memory goes back after each batch.
+
+    Workers live on from task to task, and two of them share an executor with its JVM.
+    """
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        return
+
+
 def worker_cache(key: tuple, make):
     """An object that a Python worker makes once and keeps over its tasks (a tokenizer with what it remembers)."""
     kept = sys.modules.setdefault("_quirefold_worker", types.ModuleType("_quirefold_worker")).__dict__.setdefault("kept", {})

@@ -4,7 +4,7 @@ Every window of ``width`` successive words gets a rolling hash, and Spark counts
 of the whole corpus.  Two things keep the shuffle small.  Windows go to buckets by the least
 5-word hash inside them, so that neighbouring windows mostly share a bucket and travel as
 runs with one position for the run instead of one for each window.  And each task combines
-before it sends: a window goes out once for a million windows or so, however often it occurs
+before it sends: a window goes out once for half a million windows or so, however often it occurs
 there, so a passage found in a third of all documents floods no bucket.  A bucket holds about
 ``BUCKET_WINDOWS`` windows whatever the corpus size; the number of buckets grows with it, and
 so do the hash bits: 56 bits inside a bucket that is itself chosen by hash.
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import WORD, buckets_for, text_bytes_total
+from .shared import WORD, buckets_for, give_back, slices, text_bytes_total
 
 #: Windows combined before they are sent, windows in a bucket, buckets at least, and the words whose least hash picks the bucket.
-COMBINE_WINDOWS, BUCKET_WINDOWS, LEAST_BUCKETS, ANCHOR = 1 << 20, 1 << 21, 1024, 5
+COMBINE_WINDOWS, BUCKET_WINDOWS, LEAST_BUCKETS, ANCHOR = 1 << 19, 1 << 21, 1024, 5
 _BLOCK = "bucket int, payload binary"
 _SPAN = "row_id long, row_hash long, first int, last int"
 
@@ -120,7 +120,7 @@ def _hash_windows(width: int, buckets: int):
             found = list(_blocks(parts, np.concatenate(ids), np.concatenate(hashes), buckets)) if held else []
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches):
             data, at = wh.text_bytes(batch.column("text"))
             own_ids, own_hashes = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row_id", "row_hash"))
             for first, last in wh.pieces(data, at):
@@ -139,6 +139,7 @@ def _hash_windows(width: int, buckets: int):
                     yield flush()
                     parts, ids, hashes, docs, held = [], [], [], 0, 0
         yield flush()
+        give_back()
 
     return run
 
@@ -185,7 +186,7 @@ _FOUND = re.compile(WORD)
 
 def _strip(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, kept, removed = [], [], [], []
             for text, packed in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 found = _FOUND.findall(text or "")

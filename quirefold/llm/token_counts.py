@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, worker_cache
+from .shared import cut, slices, worker_cache
 
 #: Characters in a chunk, and of overlap at first; words up to this length are remembered, this many at most in a task.
 CHUNK, OVERLAP, MEMO_LENGTH, MEMO_SIZE = 1 << 16, 1 << 9, 48, 1 << 20
@@ -79,7 +79,7 @@ def _count_or_chunk(model: str, chunk: int):
 
     def run(batches):
         counter = worker_cache(("counter", model), lambda: Counter(load(model)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             huge = [counter.proven and len(t) > chunk for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import worker_cache
+from .shared import slices, worker_cache
 
 #: Ids in a segment; words up to this length are remembered, this many at most in a task.
 SEGMENT_IDS, MEMO_LENGTH, MEMO_SIZE = 1 << 18, 48, 1 << 19
@@ -173,7 +173,7 @@ def _segments(tokenizer: str, end_id: int, segment_ids: int):
                 ["part", "seg", "n_ids", "width", "doc_ids", "ends", "ids"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = encoder.encode(text) + end
                 if held and held + len(own) // encoder.width > segment_ids:
@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
 
 def _documents(batches):
-    for batch in batches:
+    for batch in slices(batches, 16):
         for row in batch.to_pylist():
             ends = EliasFano(row["ends"]).values()
             ids = np.frombuffer(row["ids"], f"<u{row['width']}")

@@ -65,14 +65,16 @@ class Words:
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and document offsets of a string column; null counts as empty."""
+    """UTF-8 bytes and document offsets of a string column, without copying the text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _, at, data = column.buffers()
-    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(at, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
 
