@@ -24,15 +24,13 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 _NUMBER = r"^\+?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 
 
+_SCALE_WORD = rf"(?s)^(.*\S)\s*({'|'.join(sorted(SCALES, key=len, reverse=True))})$"
+
+
 def _scaled(t: Column) -> Column:
-    """(text without its scale word, factor); longer words first."""
-    out = F.struct(t.alias("text"), F.lit(1.0).alias("scale"))
-    for word in sorted(SCALES, key=len):
-        before = F.trim(F.regexp_replace(t, f"{word}$", ""))
-        ends = t.endswith(word) & (before != "")
-        inside = F.contains(t, F.lit(f" {word}"))
-        out = F.when(ends, F.struct(before.alias("text"), F.lit(SCALES[word]).alias("scale"))).when(inside, F.struct(F.trim(F.replace(t, F.lit(f" {word}"), F.lit(""))).alias("text"), F.lit(SCALES[word]).alias("scale"))).otherwise(out)
-    return out
+    """(text without its scale word, factor)."""
+    factor = F.create_map(*(F.lit(x) for pair in SCALES.items() for x in pair))
+    return F.when(t.rlike(_SCALE_WORD), F.struct(F.regexp_extract(t, _SCALE_WORD, 1).alias("text"), factor[F.regexp_extract(t, _SCALE_WORD, 2)].alias("scale"))).otherwise(F.struct(t.alias("text"), F.lit(1.0).alias("scale")))
 
 
 def _with_point(t: Column) -> Column:
@@ -48,12 +46,12 @@ def _with_point(t: Column) -> Column:
 def parse_number(raw: Column | str) -> Column:
     """The number in a text: separators of either style, percent, currency, parentheses or minus for negatives, scale words; else null."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    cleaned = F.lower(F.trim(F.translate(F.regexp_replace(F.regexp_replace(raw, "[$€£¥₩]", ""), "[\t\n\r]", " "), "  ", "  ")))
+    cleaned = F.lower(F.trim(F.regexp_replace(F.translate(raw, "\u00a0\u2009\t\n\r", "     "), "[$€£¥₩%]", "")))
 
     def unsigned(t: Column) -> Column:
         bracketed = t.rlike(r"^\(.*\)$")
-        inner = F.when(bracketed, F.regexp_extract(t, r"^\((.*)\)$", 1)).otherwise(t)
-        return F.struct((bracketed | inner.startswith("-")).alias("minus"), F.trim(F.replace(F.regexp_replace(inner, "^-", ""), F.lit("%"), F.lit(""))).alias("text"))
+        inner = F.when(bracketed, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+        return F.struct((bracketed | inner.startswith("-")).alias("minus"), F.trim(F.regexp_replace(inner, "^-", "")).alias("text"))
 
     def value(u: Column) -> Column:
         def of(s: Column) -> Column:
@@ -62,7 +60,8 @@ def parse_number(raw: Column | str) -> Column:
 
         return let(_scaled(u["text"]), of)
 
-    return F.when(F.trim(raw) != "", steps(cleaned, unsigned, value))
+    # Plain decimals, the usual case, need no reading.
+    return F.when(raw.rlike(r"^-?\d{1,15}(\.\d+)?$"), raw.try_cast("double")).when(F.trim(raw) != "", steps(cleaned, unsigned, value))
 
 
 def _factor(unit: Column, table: dict[str, float]) -> Column:

@@ -244,3 +244,14 @@ def test_streaming_ingest(spark, tmp_path):
     kept = store.RunStore(spark, f"file://{tmp_path}/kept")
     ingest.compile_stream(spark, f"file://{tmp_path}/in", kept, f"file://{tmp_path}/cp").awaitTermination(60)
     assert kept.load("compiled").count() == 1
+
+
+def test_answers_from_end_to_end(spark, compiled):
+    from quirefold.plans import run
+
+    own = compiled.compiled.where("document_id = 'doc-a'")
+    got = {r["question_id"]: r for r in run.answer_questions(own, [("q1", "Which station covers the largest area?"), ("q2", "Which base lies far from any town?"), ("q3", "Which of far from any town, and snow storms, which is not mentioned?")]).collect()}
+    assert got["q1"]["answer"] == "Delta Base (80). The next highest: Alpha Base (45), Beta Base (40.5)." and got["q1"]["result_value"] == "80"
+    assert got["q2"]["note"] == "from evidence" and 2 in got["q2"]["pages"] and got["q3"]["answer"] == "snow storms"
+    assert run.parse_answer('```json\n{"answer": {"a": 1, "b": ["x", null, "y"]}}\n```') == "a: 1. b: x; y." and run.parse_answer("plain") == "plain"
+    assert run.missing_slots("in 1999", ("date", "thesis")) == ["thesis"]
