@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import components
-from .shared import buckets_for, cut, slices, text_bytes_total
+from .shared import buckets_for, cut, likely, slices, text_bytes_total
 from .substring import _pack, _unpack
 
 #: Words in a shingle; similarity in hundredths; shingles sent at once and in a bucket; classes in a tile; bins of the suffix filter.
@@ -300,7 +300,7 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", tex
     shared = shared.groupBy("d1", "d2").agg(F.sum("shared").alias("shared"))
     survivors = cut(classes.join(shared, ["d1", "d2"]).where(100 * F.col("shared") >= PERCENT * F.col("n_shingles")).select(F.col("first").alias("doc_id"), "d1", "d2", "n_shingles"), "survivors")
     few = buckets_for(survivors.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0, BUCKET // 4, LEAST_BUCKETS)
-    texts = rows.join(survivors, "doc_id")
+    texts = likely(rows, survivors, ["doc_id"]).join(survivors, "doc_id")
     parts = texts.select("doc_id", "d1", "d2", "text").mapInArrow(_send_survivors(width, few), "bucket int, payload binary").groupBy("bucket").applyInArrow(_frequencies, "doc_id long, keys binary, df binary")
     ranked = cut(parts.groupBy("doc_id").agg(F.collect_list(F.struct("keys", "df")).alias("parts")).mapInArrow(_rank, "doc_id long, n long, ranked binary, prefix array<long>"), "ranked")
     heads = ranked.select("doc_id", F.explode("prefix").alias("key"))
