@@ -21,6 +21,7 @@ SQUARE_KM = {
 KILOGRAMS = {"kg": 1.0, "kilogram": 1.0, "kilograms": 1.0, "g": 0.001, "gram": 0.001, "grams": 0.001, "lb": 0.453592, "lbs": 0.453592, "pound": 0.453592, "pounds": 0.453592, "ton": 1000.0, "tons": 1000.0, "tonne": 1000.0, "tonnes": 1000.0}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
+_USUAL = r"^(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$"
 _NUMBER = r"^\+?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 
 
@@ -46,7 +47,7 @@ def _with_point(t: Column) -> Column:
 def parse_number(raw: Column | str) -> Column:
     """The number in a text: separators of either style, percent, currency, parentheses or minus for negatives, scale words; else null."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    cleaned = F.lower(F.trim(F.regexp_replace(F.translate(raw, "\u00a0\u2009\t\n\r", "     "), "[$€£¥₩%]", "")))
+    cleaned = F.lower(F.trim(F.translate(raw, "\u00a0\u2009\t\n\r$€£¥₩%", "     ")))
 
     def unsigned(t: Column) -> Column:
         bracketed = t.rlike(r"^\(.*\)$")
@@ -55,13 +56,16 @@ def parse_number(raw: Column | str) -> Column:
 
     def value(u: Column) -> Column:
         def of(s: Column) -> Column:
-            digits = F.replace(_with_point(s["text"]), F.lit(" "), F.lit(""))
-            return let(digits, lambda d: F.when(d.rlike(_NUMBER), d.try_cast("double") * s["scale"] * F.when(u["minus"], -1.0).otherwise(1.0)))
+            t = s["text"]
+            sign = s["scale"] * F.when(u["minus"], -1.0).otherwise(1.0)
+            digits = F.replace(_with_point(t), F.lit(" "), F.lit(""))
+            return F.when(t.rlike(_USUAL), F.replace(t, F.lit(","), F.lit("")).try_cast("double") * sign).otherwise(let(digits, lambda d: F.when(d.rlike(_NUMBER), d.try_cast("double") * sign)))
 
         return let(_scaled(u["text"]), of)
 
-    # Plain decimals, the usual case, need no reading.
-    return F.when(raw.rlike(r"^-?\d{1,15}(\.\d+)?$"), raw.try_cast("double")).when(F.trim(raw) != "", steps(cleaned, unsigned, value))
+    # Numbers in the usual form need no reading, and stay inside generated code.
+    usual = F.translate(raw, "$€£¥₩%,", "")
+    return F.when(F.ltrim(raw).rlike(r"^[$€£¥₩]?(\d{1,3}(,\d{3})+(\.\d+)?|\d+(\.\d+)?)%?$"), usual.try_cast("double")).when(F.trim(raw) != "", steps(cleaned, unsigned, value))
 
 
 def _factor(unit: Column, table: dict[str, float]) -> Column:
@@ -90,17 +94,20 @@ def normalize_date(raw: Column | str) -> Column:
 
     def read(t: Column) -> Column:
         part = lambda pattern, k: F.regexp_extract(t, pattern, k)
-        iso = lambda y, m, d: F.format_string("%04d-%02d-%02d", y.try_cast("int"), m.try_cast("int"), d.try_cast("int"))
+        two = lambda c: F.lpad(c, 2, "0")
+        iso = lambda y, m, d: F.concat(y, F.lit("-"), two(m), F.lit("-"), two(d))
+        month = lambda c: _month(c).cast("string")
         era, ymd, dmy = r"(?i)\b(\d{1,5})\s*(BCE|BC)\b", r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
-        mdy, dmonth, year = r"^(\p{L}+)\.?\s+(\d{1,2}),?\s+(\d{4})$", r"^(\d{1,2})\s+(\p{L}+)\.?,?\s+(\d{4})$", r"^(\d{4})$"
+        mdy, dmonth, year = r"^(\p{L}+)\.?\s+(\d{1,2}),?\s+(\d{4})$", r"^(\d{1,2})\s+(\p{L}+)\.?,?\s+(\d{4})$", r"^\d{4}$"
+        # The usual forms first; none of the anchored ones can hold an era.
         return (
-            F.when(t.rlike(era), F.concat(part(era, 1), F.lit(" "), F.upper(part(era, 2))))
-            .when(t.rlike(ymd), iso(part(ymd, 1), part(ymd, 2), part(ymd, 3)))
+            F.when(t.rlike(ymd), iso(part(ymd, 1), part(ymd, 2), part(ymd, 3)))
+            .when(t.rlike(year), F.concat(t, F.lit("-01-01")))
+            .when(t.rlike(dmonth), iso(part(dmonth, 3), month(part(dmonth, 2)), part(dmonth, 1)))
+            .when(t.rlike(mdy), iso(part(mdy, 3), month(part(mdy, 1)), part(mdy, 2)))
             .when(t.rlike(dmy) & (part(dmy, 2).try_cast("int") > 12), iso(part(dmy, 3), part(dmy, 1), part(dmy, 2)))
             .when(t.rlike(dmy), iso(part(dmy, 3), part(dmy, 2), part(dmy, 1)))
-            .when(t.rlike(mdy) & _month(part(mdy, 1)).isNotNull(), iso(part(mdy, 3), _month(part(mdy, 1)), part(mdy, 2)))
-            .when(t.rlike(dmonth) & _month(part(dmonth, 2)).isNotNull(), iso(part(dmonth, 3), _month(part(dmonth, 2)), part(dmonth, 1)))
-            .when(t.rlike(year), F.concat(part(year, 1), F.lit("-01-01")))
+            .when(t.rlike(era), F.concat(part(era, 1), F.lit(" "), F.upper(part(era, 2))))
         )
 
     return let(F.trim(raw), read)

@@ -46,19 +46,24 @@ def missing_pairs(expected: DataFrame, returned: DataFrame, keys: list[str]) ->
     return expected.join(returned, keys, "left").withColumn("status", F.coalesce("status", F.lit("parse_failed")))
 
 
-def document_frequency(terms: DataFrame, document: str, term: str = "term") -> DataFrame:
-    return terms.groupBy(term).agg(F.countDistinct(document).alias("df"))
+def document_frequency(terms: DataFrame, term: str = "term") -> DataFrame:
+    """Documents that hold each term, from distinct (document, term) rows."""
+    return terms.groupBy(term).agg(F.count("*").alias("df"))
 
 
-def rare_terms(terms: DataFrame, document: str, n_documents: Column, share: float = 0.25, term: str = "term") -> DataFrame:
+def rare_terms(terms: DataFrame, n_documents: Column, share: float = 0.25, term: str = "term") -> DataFrame:
     """Terms that at most ``share`` of the documents hold."""
-    return document_frequency(terms, document, term).where(F.col("df") <= n_documents * F.lit(share))
+    return document_frequency(terms, term).where(F.col("df") <= n_documents * F.lit(share))
 
 
-def dismissed_matches(questions: DataFrame, terms: DataFrame, rare: DataFrame, question: str, document: str, least: int = 2, k: int = 4) -> DataFrame:
-    """Per question, the k documents that hold most of its rare terms (``least`` or more), lowest id first among equals."""
-    asked = questions.join(rare.select("term"), "term")
-    scores = asked.join(terms, "term").groupBy(question, document).agg(F.countDistinct("term").alias("score")).where(F.col("score") >= least)
+def dismissed_matches(questions: DataFrame, terms: DataFrame, n_documents: Column, question: str, document: str, share: float = 0.25, least: int = 2, k: int = 4) -> DataFrame:
+    """Per question, the k documents that hold most of its rare terms (``least`` or more), lowest id first among equals.
+
+    Both inputs are distinct (id, term) rows.  Only terms that a question asks for are counted and joined.
+    """
+    asked = terms.join(questions.select("term").distinct(), "term", "left_semi")
+    rare = rare_terms(asked, n_documents, share)
+    scores = questions.join(rare.select("term"), "term").join(asked, "term").groupBy(question, document).agg(F.count("*").alias("score")).where(F.col("score") >= least)
     ranked = scores.withColumn("rk", F.row_number().over(W.partitionBy(question).orderBy(F.col("score").desc(), F.col(document))))
     return ranked.where(F.col("rk") <= k).withColumn("rk", F.col("rk").cast("long"))
 

@@ -251,14 +251,12 @@ _DOC_TERMS, _ITEM_TERMS = _TERMS.format(key="doc_id", table="documents"), _TERMS
 
 @query(f"SELECT term, count(*) AS df FROM {_DOC_TERMS} GROUP BY 1 HAVING count(*) <= (SELECT count(*) FROM documents) * 0.25")
 def rare_terms(t):
-    return ev.rare_terms(_terms(t("documents"), "doc_id"), "doc_id", F.lit(t("documents").count()))
+    return ev.rare_terms(_terms(t("documents"), "doc_id"), F.lit(t("documents").count()))
 
 
 @query(f"WITH d AS {_DOC_TERMS}, i AS {_ITEM_TERMS}, r AS (SELECT term FROM d GROUP BY 1 HAVING count(*) <= (SELECT count(*) FROM documents) * 0.25), s AS (SELECT item_id, doc_id, count(*) AS score FROM i JOIN r USING (term) JOIN d USING (term) GROUP BY 1, 2 HAVING count(*) >= 2) SELECT item_id, doc_id, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM s) WHERE rk <= 4")
 def dismissed_matches(t):
-    terms = _terms(t("documents"), "doc_id")
-    rare = ev.rare_terms(terms, "doc_id", F.lit(t("documents").count()))
-    return ev.dismissed_matches(_terms(t("benchmark"), "item_id"), terms, rare, "item_id", "doc_id")
+    return ev.dismissed_matches(_terms(t("benchmark"), "item_id"), _terms(t("documents"), "doc_id"), F.lit(t("documents").count()), "item_id", "doc_id")
 
 
 @query("WITH n AS (SELECT max(doc_id) + 1 AS n FROM documents), s AS (SELECT doc_id, least(2, floor(3 * greatest(doc_id, 0) / n))::BIGINT AS tercile, (length(text) - length(replace(text, ' the ', '')))::BIGINT // 5 AS score FROM documents, n), k AS (SELECT *, row_number() OVER (PARTITION BY tercile ORDER BY score DESC, doc_id) AS rk FROM s) SELECT doc_id, tercile, score, rk FROM k WHERE rk <= CASE tercile WHEN 2 THEN 2 ELSE 3 END")

@@ -255,3 +255,11 @@ def test_answers_from_end_to_end(spark, compiled):
     assert got["q2"]["note"] == "from evidence" and 2 in got["q2"]["pages"] and got["q3"]["answer"] == "snow storms"
     assert run.parse_answer('```json\n{"answer": {"a": 1, "b": ["x", null, "y"]}}\n```') == "a: 1. b: x; y." and run.parse_answer("plain") == "plain"
     assert run.missing_slots("in 1999", ("date", "thesis")) == ["thesis"]
+
+
+def test_pdf_reading_is_an_extra(spark):
+    from quirefold.sources import pdf
+
+    if not pdf.available():
+        with pytest.raises(ImportError, match="PyMuPDF"):
+            pdf.read_pdf_pages(spark, "/nowhere")
