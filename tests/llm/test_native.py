@@ -85,6 +85,47 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_short_and_unspaced_lines_are_linked(spark):
+    """Each pair differs by one edit and is similar by all shingles; no line has more than a few blanks."""
+    rng = random.Random(12)
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(71))
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(44))
+    two = [(f"{a}ingtonshire {b}berryfields", f"{a}ingtonshire {b}berryfieldz") for a in WORDS[:5] for b in WORDS[5:9]]
+    pairs = [
+        (chinese, "\u4e8c" + chinese[1:]),
+        (token, "#" + token[1:]),
+        ("https://quirefold.example.org/a/page", "http://quirefold.example.org/a/page"),
+        ("page 17 of the whole book", "page 17 of the whole books"),
+        ("abcdef", "abcdefg"),
+        ("-" * 300, "-" * 400),
+        ("01" * 500, "10" * 700),
+        *two,
+    ]
+    docs = [(2 * k + side, x) for k, p in enumerate(pairs) for side, x in enumerate(p)]
+    got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == line_truth(docs) and got[1] == got[3] == got[5] == got[7] == ""
+
+
+def test_recall_by_line_length(spark):
+    """Random lines without blanks with scattered edits near the threshold: every short one is found, and nearly every long one."""
+    rng = random.Random(21)
+    for n, least in ((12, 1), (24, 1), (40, 1), (80, 0.97), (240, 0.97)):
+        docs = []
+        for k in range(100):
+            a = "".join(rng.choice("etaoinshrdlucmfwygpb") for _ in range(n))
+            b = a
+            for at in rng.sample(range(n), n):
+                c = b[:at] + "X" + b[at + 1 :]
+                s, t = brute.line_shingles(a), brute.line_shingles(c)
+                if 100 * len(s & t) < 75 * len(s | t):
+                    break
+                b = c
+            docs += [(2 * k, a), (2 * k + 1, b)]
+        got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        want = line_truth(docs)
+        assert sum(got[i] == t for i, t in want.items()) >= least * len(want), n
+
+
 def test_long_bands_are_compared_in_full(spark, monkeypatch):
     rng = random.Random(9)
     base = [rng.choice(WORDS) + str(k) for k in range(40)]
