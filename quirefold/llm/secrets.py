@@ -2,10 +2,11 @@
 
 Base kinds (``KINDS``) are found by pattern in the whole text.  The method adds spans of
 kind ``novel``: a run of 16 or more key-like characters, of at least two character classes,
-within ``CONTEXT`` characters after a sensitive word and outside every base span, whose
+with a digit or with many changes of case, within ``CONTEXT`` characters after a sensitive word and outside every base span, whose
 marginal size is high.  The marginal size is what zstandard needs for dictionary-primed
-surroundings with the candidate, less what it needs without: identifiers, paths, words and
-repeats cost little next to code that holds them, random strings nearly their entropy.
+surroundings with the candidate, less what it needs without: identifiers, paths and words
+cost little next to code that holds them, random strings nearly their entropy.  Other copies of the
+candidate are taken out of the surroundings first, so a key that stands twice is reported at both places.
 
 Defined results: a null or empty text has no spans; rows are scanned one by one, so repeated
 rows and ids do no harm; offsets are code points, ends exclusive, of the text as it is.
@@ -68,6 +69,18 @@ def _classes(text: str) -> int:
     return any(c.isdigit() for c in text) + any(c.islower() for c in text) + any(c.isupper() for c in text) + any(not c.isalnum() for c in text)
 
 
+def _keylike(text: str) -> bool:
+    """A digit, or a change of case at a third of the places: names in camel case change it less often, and measured bytes do not tell them from keys."""
+    return any(c.isdigit() for c in text) or 3 * sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in zip(text, text[1:])) >= len(text) - 1
+
+
+def _surroundings(text: str, a: int, z: int) -> tuple[str, str, str]:
+    """What stands before a candidate, the candidate, and what stands after it, without its other copies, also those that the edge of the surroundings cuts."""
+    own, n = text[a:z], z - a
+    before, after = text[max(0, a - AROUND - n) : a].replace(own, ""), text[z : z + AROUND + n].replace(own, "")
+    return before[-AROUND:], own, after[:AROUND]
+
+
 def find_secrets(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind in the order of ``KINDS``."""
     spans = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
@@ -84,7 +97,7 @@ def find_secrets(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
             if a in seen or any(x < z and a < y for x, y in base):
                 continue
             seen.add(a)
-            if _classes(m[0]) >= 2 and any(c.isdigit() for c in m[0]) and novelty.marginal(text[max(0, a - AROUND) : a], m[0], text[z : z + AROUND]) >= NOVEL * (z - a):
+            if _classes(m[0]) >= 2 and _keylike(m[0]) and novelty.marginal(*_surroundings(text, a, z)) >= NOVEL * (z - a):
                 spans.append(("novel", a, z))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -152,6 +152,14 @@ def test_novel_strings_beside_sensitive_words():
     assert kinds('api_key = "abcdef123456"') == ["assign"]
 
 
+def test_keys_that_stand_twice_or_hold_no_digit():
+    novelty = secrets.Novelty()
+    for key in ("qX7tLz09VbNw3KpR5sYe8HdM", "qXqtLzaGVbNwJKpRTsYeQHdM"):
+        text = f"bearer {key} of the first\nbearer {key} of the second"
+        assert [text[a:z] for _, a, z in secrets.find_secrets(text, novelty)] == [key, key]
+    assert secrets.find_secrets("token of BackgroundWorkerQueueManager here", novelty) == []
+
+
 def test_jaccard(spark, rows, odd):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op5_ngram_jaccard(spark, SF).collect()}
     assert got == brute.linked_components([(i, t) for i, t, _ in rows])
