@@ -5,7 +5,8 @@ successive words: it hashes the words at its marked places and ignores the other
 with substituted words still meets the benchmark wherever one placement misses the
 substitutions.  Hashes of benchmark items and of documents are joined; a hit fixes the
 alignment of document and item, and around each hit the words are compared place by place.
-A leak is a hit around which at least ``SIMILAR`` of the compared words are equal.
+A leak is a hit around which at least ``SIMILAR`` of the compared words are equal, of those inside both texts, or
+else of the ``SPAN`` words of the hit itself: a quote of part of an item counts as well.
 
 The benchmark is the small side: its hashes are broadcast in blocks of at most ``BLOCK_HASHES``
 (some tens of MB each); a larger benchmark takes more blocks, each a pass over the documents.
@@ -75,11 +76,13 @@ def _verified(candidates: DataFrame) -> DataFrame:
 
         def around(e: Column) -> Column:
             def one(q: Column) -> Column:
-                first = F.greatest(q - AROUND, F.lit(0))
-                last = F.least(q + SPAN + AROUND, F.size(e))
-                return F.struct(F.aggregate(F.slice(e, first + 1, last - first), F.lit(0), lambda s, x: s + x).alias("n_equal"), (last - first).alias("n_compared"))
+                def share(first: Column, last: Column) -> Column:
+                    return let(F.aggregate(F.slice(e, first + 1, last - first), F.lit(0), lambda s, x: s + x), lambda n: F.struct((n / (last - first)).alias("share"), n.alias("n_equal"), (last - first).alias("n_compared")))
 
-            return F.array_max(F.transform(F.transform("places", one), lambda o: F.struct((o["n_equal"] / o["n_compared"]).alias("share"), o["n_equal"].alias("n_equal"), o["n_compared"].alias("n_compared"))))
+                wide = share(F.greatest(q - AROUND, F.lit(0), -F.col("shift")), F.least(q + SPAN + AROUND, F.size(e), F.size(h) - F.col("shift")))
+                return let(wide, lambda w: F.when(w["share"] >= SIMILAR, w).otherwise(share(q, F.least(q + SPAN, F.size(e)))))
+
+            return F.array_max(F.transform("places", one))
 
         return let(equal, around)
 

@@ -166,6 +166,14 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), empty.withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
+def test_quotes_of_part_of_an_item_are_leaks(spark):
+    words = [f"item{k}" for k in range(60)]
+    other = [f"other{k}" for k in range(30)]
+    docs = [(n, " ".join([*other, *words[20 : 20 + n], *other])) for n in (11, 13, 15, 18, 21)] + [(100, " ".join(words[20:33])), (200, " ".join([*other, *words[20:26], *other]))]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    assert collected(got, "doc_id") == sorted([(k,) for k in (11, 13, 15, 18, 21, 100)], key=str)
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     whole = collected(queries.op8_decontaminate(spark, SF), "doc_id", "item_id", "n_equal", "first_word")
     monkeypatch.setattr(decontaminate, "BLOCK_HASHES", 700)
