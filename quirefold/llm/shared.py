@@ -63,15 +63,18 @@ def buckets_for(items: int, each: int, least: int) -> int:
 RESIDUES = 1 << 20
 
 
+def residue(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(RESIDUES))
+
+
 def likely(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose keys may be among the wanted ones, before a join that decides it.
 
     Keys are reduced to a hash residue, so what is broadcast has a fixed bound; few wanted keys spare
     most of ``df`` the shuffle, very many spare none, and no row that is wanted is ever lost.
     """
-    residue = F.pmod(F.xxhash64(*keys), F.lit(RESIDUES))
-    some = wanted.select(residue.alias("_residue")).distinct()
-    return df.withColumn("_residue", residue).join(F.broadcast(some), "_residue", "left_semi").drop("_residue")
+    some = wanted.select(residue(*keys).alias("_residue")).distinct()
+    return df.withColumn("_residue", residue(*keys)).join(F.broadcast(some), "_residue", "left_semi").drop("_residue")
 
 
 def slices(batches, rows: int = 1024):

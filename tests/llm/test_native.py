@@ -126,6 +126,26 @@ def test_recall_by_line_length(spark):
         assert sum(got[i] == t for i, t in want.items()) >= least * len(want), n
 
 
+def test_recall_of_lines_of_words(spark):
+    """The same for lines of words, short and long ones."""
+    rng = random.Random(22)
+    for letters in (3, 6, 13):
+        docs = []
+        for k in range(100):
+            a = " ".join("".join(rng.choice("etaoinshrdlucmfwygpb") for _ in range(rng.randint(letters - 2, letters + 2))) for _ in range(200 // letters))
+            b = a
+            for at in rng.sample(range(len(a)), len(a)):
+                c = b[:at] + "X" + b[at + 1 :]
+                s, t = brute.line_shingles(a), brute.line_shingles(c)
+                if 100 * len(s & t) < 75 * len(s | t):
+                    break
+                b = c
+            docs += [(2 * k, a), (2 * k + 1, b)]
+        got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        want = line_truth(docs)
+        assert sum(got[i] == t for i, t in want.items()) >= 0.95 * len(want), letters
+
+
 def test_long_bands_are_compared_in_full(spark, monkeypatch):
     rng = random.Random(9)
     base = [rng.choice(WORDS) + str(k) for k in range(40)]
@@ -134,9 +154,25 @@ def test_long_bands_are_compared_in_full(spark, monkeypatch):
         w = list(base)
         w[rng.randrange(30, 40)] = f"new{i}"
         docs.append((i, " ".join(w)))
-    monkeypatch.setattr(lines, "NEAR", 4)
+    # Lines that share a long passage and nothing else, in pairs of near copies.
+    for i in range(40):
+        own = [*base[:8], *(f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(30))]
+        docs += [(1000 + 2 * i, " ".join(own)), (1001 + 2 * i, " ".join([*own[:-1], "end"]))]
+    monkeypatch.setattr(lines, "HOT", 4)
     got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert sum(r["n_removed"] for r in got) == 59 and [r["doc_id"] for r in got if r["n_removed"] == 0] == [0]
+    assert {r["doc_id"] for r in got if r["n_removed"] == 0} == {0, *range(1000, 1080, 2)}
+
+
+def test_line_dedup_of_odd_rows(spark):
+    """Repeated rows, columns of clashing names, one very long line, and a text of very many lines."""
+    rng = random.Random(31)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(40_000))
+    many = "\n".join(f"line number {k} of {rng.randrange(10**9)} in a text of very many lines" for k in range(3000))
+    docs = [(1, long, 1, "x"), (1, long, 1, "x"), (2, f"{long} end", 1, "x"), (3, many, 1, "x"), (3, "other text\nof the same id", 1, "x"), (None, None, None, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, line_id int, band string").selectExpr("*", "text AS line", "1 AS gone", "1 AS text_hash", "1 AS _residue")
+    got = lines.dedup_lines(rows).collect()
+    assert sorted((r["doc_id"] or 0, r["n_lines"]) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 2), (3, 3000)]
+    assert [r["kept_text"] for r in got if r["doc_id"] == 2] == [""] and all(r["kept_text"] == long for r in got if r["doc_id"] == 1)
 
 
 def test_line_dedup_over_the_table(spark):
