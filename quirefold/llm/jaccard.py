@@ -10,9 +10,11 @@
    shingles; tiles are joined on prefix shingles, so near copies mostly sit in one tile, and a large
    group costs a few tile pairs where it would cost millions of document pairs.
 5. In a pair of tiles, the prefix, length, positional and suffix filters leave candidates, and each is
-   verified on its whole sets, once.  Links already implied by others there are not sent.
+   verified on its whole sets, once.  Links are counted there, and those already implied by others are not sent.
 6. Links become components; members get the component of their class.
 
+A class is known by half of its set's digest (64 bits) in steps 3 to 6, so rows that share an id but not a text are told apart.
+
 Defined results: a null or blank text has an empty set and links with nothing; a document of fewer
 words than a shingle is one shingle of its whole sequence; rows without an id take part in no
 link and have no component; equal rows have equal results.
@@ -32,8 +34,8 @@ from .components import components
 from .shared import buckets_for, cut, likely, slices, text_bytes_total
 from .substring import _pack, _unpack
 
-#: Words in a shingle; similarity in hundredths; shingles sent at once and in a bucket; classes in a tile; bins of the suffix filter.
-WIDTH, PERCENT, SEND, BUCKET, LEAST_BUCKETS, TILE, BINS = 5, 75, 1 << 20, 1 << 21, 64, 384, 64
+#: Words in a shingle; similarity in hundredths; shingles sent at once and in a bucket; classes and shingles in a tile, about; bins of the suffix filter.
+WIDTH, PERCENT, SEND, BUCKET, LEAST_BUCKETS, TILE, TILE_SHINGLES, BINS = 5, 75, 1 << 20, 1 << 21, 64, 384, 1 << 20, 64
 
 
 def _ceil(percent: int, n: np.ndarray | int) -> np.ndarray | int:
@@ -47,15 +49,21 @@ class Shingler:
     def sets(self, column: pa.Array):
         """(first row, set offsets, shingle hashes sorted by row and value) for piece after piece of a column of texts."""
         data, at = wh.text_bytes(column)
-        for first, last in wh.pieces(data, at):
-            words = wh.find_words(data[at[first] : at[last]], at[first : last + 1] - at[first])
-            hashed = wh.word_hashes(words, self.byte_powers, lower=True)
-            starts, doc = wh.window_starts(words.offsets, self.width)
+        sections: list[np.ndarray] = []  # of a long document
+        for first, last, offsets, hashed, before, ends in wh.hashed_pieces(data, at, self.width, self.byte_powers, lower=True):
+            starts, doc = wh.window_starts(offsets, self.width)
             keys = wh.window_hashes(hashed, self.width, self.window_powers)[starts]
-            counts = np.diff(words.offsets)
+            if before or sections or not ends:
+                sections.append(np.unique(keys))
+                if not ends:
+                    continue
+                keys = np.unique(np.concatenate(sections))
+                doc, sections = np.zeros(len(keys), np.int64), []
+                offsets = np.array([0, before + len(hashed)])
+            counts = np.diff(offsets)
             few = np.flatnonzero((counts > 0) & (counts < self.width))
             if len(few):
-                short = [wh.window_hashes(hashed[words.offsets[d] : words.offsets[d + 1]], int(counts[d]), self.window_powers)[0] ^ np.uint64(counts[d]) for d in few]
+                short = [wh.window_hashes(hashed[offsets[d] : offsets[d + 1]], int(counts[d]), self.window_powers)[0] ^ np.uint64(counts[d]) for d in few]
                 keys, doc = np.concatenate([keys, np.array(short, np.uint64)]), np.concatenate([doc, few])
             order = np.lexsort((keys, doc))
             keys, doc = keys[order], doc[order]
@@ -80,7 +88,7 @@ def _describe(width: int):
             for _, at, keys in shingler.sets(batch.column("text")):
                 rows += [(b - a, *(_digest(keys[a:b]) if b > a else (None, None))) for a, b in zip(at[:-1], at[1:], strict=True)]
             n, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([int(x) for x in n], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([int(x) for x in n], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "text_hash", "n_shingles", "d1", "d2"])
 
     return run
 
@@ -150,17 +158,17 @@ def _shared_counts(table: pa.Table) -> pa.Table:
 
 
 def _send_survivors(width: int, buckets: int):
-    """Blocks of survivors' shingles, 64 bits each, with the document as reference."""
+    """Blocks of survivors' shingles, 64 bits each, with the class as reference."""
 
     def run(batches):
         shingler = Shingler(width)
         for batch in slices(batches):
-            ids, d1, d2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "d1", "d2"))
+            d1, d2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2"))
             for first, at, keys in shingler.sets(batch.column("text")):
                 # Rows that share an id but not the text of their class's first document drop out here.
                 right = [a < b and _digest(keys[a:b]) == (d1[first + i], d2[first + i]) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
                 sizes = np.diff(at) * right
-                found = list(_blocks_of(ids[first : first + len(right)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), keys[np.repeat(right, np.diff(at))], buckets, True))
+                found = list(_blocks_of(d1[first : first + len(right)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), keys[np.repeat(right, np.diff(at))], buckets, True))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
 
     return run
@@ -179,7 +187,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
     _, inverse, df = np.unique(keys, return_inverse=True, return_counts=True)
     edges = np.concatenate([[0], np.cumsum(counts)])
     df = df[inverse].astype(np.uint32)
-    return pa.table({"doc_id": pa.array(refs), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), "df": pa.array([df[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+    return pa.table({"class": pa.array(refs), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), "df": pa.array([df[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
 
 def _rank(batches):
@@ -195,7 +203,7 @@ def _rank(batches):
             ranked.append(keys[order].tobytes())
             prefix.append(keys[head[df[head] > 1]].view(np.int64))
             sizes.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ranked, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "ranked", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sizes, pa.int64()), pa.array(ranked, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["class", "n", "ranked", "prefix"])
 
 
 def _dense(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -246,8 +254,8 @@ def _candidates(a: list[np.ndarray], b: list[np.ndarray], within: bool) -> np.nd
     return passed
 
 
-def _links(ids_a: np.ndarray, a: list[np.ndarray], ids_b: np.ndarray, b: list[np.ndarray], within: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the verified links between two tiles, or within one."""
+def _links(ids_a: np.ndarray, a: list[np.ndarray], members_a: np.ndarray, ids_b: np.ndarray, b: list[np.ndarray], members_b: np.ndarray, within: bool) -> list[tuple[int, int | None, int]]:
+    """A spanning forest of the verified links between two tiles, or within one, as (u, v, 0); and per class, the members of the classes it links with here, as (u, None, members)."""
     passed = _candidates(a, b, within)
     if within:
         passed &= np.triu(np.ones_like(passed), 1)
@@ -270,61 +278,68 @@ def _links(ids_a: np.ndarray, a: list[np.ndarray], ids_b: np.ndarray, b: list[np
         u, v = int(ids_a[left[i]]), int(ids_b[right[j]])
         if root(u) != root(v):
             parent[root(u)] = root(v)
-            out.append((u, v))
+            out.append((u, v, 0))
+    for ids, n in ((ids_a[left], linked @ members_b[right]), (ids_b[right], members_a[left] @ linked)):
+        out += [(int(u), None, int(k)) for u, k in zip(ids, n, strict=True) if k]
     return out
 
 
 def _verify_tiles(table: pa.Table) -> pa.Table:
     """One pair of tiles: rows of side 0, and of side 1 unless a tile meets itself."""
     sides = np.array(table.column("side").to_pylist())
-    ids = table.column("doc_id").to_numpy()
+    ids, members = table.column("class").to_numpy(), table.column("members").to_numpy()
     sets = [np.frombuffer(r, np.uint64) for r in table.column("ranked").to_pylist()]
     a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     within = not len(b)
     b = a if within else b
-    found = _links(ids[a], [sets[i] for i in a], ids[b], [sets[i] for i in b], within)
-    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+    found = _links(ids[a], [sets[i] for i in a], members[a], ids[b], [sets[i] for i in b], members[b], within)
+    return pa.table({name: pa.array([x[k] for x in found], pa.int64()) for k, name in enumerate(("u", "v", "members"))})
 
 
 def describe_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles`` and the set's digest (``d1``, ``d2``; null if empty)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_describe(width), "doc_id long, n_shingles long, d1 long, d2 long")
+    """Per row: ``doc_id``, ``text_hash``, ``n_shingles`` and the set's digest (``d1``, ``d2``; null if empty)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(_describe(width), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Links ``(u, v)`` between first documents of classes ``(d1, d2, first, n_shingles)`` that span the components of all links."""
+    """Links ``(u, v, 0)`` between classes ``(d1, d2, first, n_shingles, members)``, by ``d1``, that span the components of all links, and rows ``(u, null, members)`` whose sum by ``u`` is the number of documents in linked classes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = buckets_for(text_bytes_total(rows, "text") // 6, BUCKET, LEAST_BUCKETS)
     shared = rows.select("text").mapInArrow(_send_sets(width, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_shared_counts, "d1 long, d2 long, shared long")
     shared = shared.groupBy("d1", "d2").agg(F.sum("shared").alias("shared"))
-    survivors = cut(classes.join(shared, ["d1", "d2"]).where(100 * F.col("shared") >= PERCENT * F.col("n_shingles")).select(F.col("first").alias("doc_id"), "d1", "d2", "n_shingles"), "survivors")
+    survivors = cut(classes.join(shared, ["d1", "d2"]).where(100 * F.col("shared") >= PERCENT * F.col("n_shingles")).select(F.col("first").alias("doc_id"), "d1", "d2", "n_shingles", "members"), "survivors")
     few = buckets_for(survivors.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0, BUCKET // 4, LEAST_BUCKETS)
     texts = likely(rows, survivors, ["doc_id"]).join(survivors, "doc_id")
-    parts = texts.select("doc_id", "d1", "d2", "text").mapInArrow(_send_survivors(width, few), "bucket int, payload binary").groupBy("bucket").applyInArrow(_frequencies, "doc_id long, keys binary, df binary")
-    ranked = cut(parts.groupBy("doc_id").agg(F.collect_list(F.struct("keys", "df")).alias("parts")).mapInArrow(_rank, "doc_id long, n long, ranked binary, prefix array<long>"), "ranked")
-    heads = ranked.select("doc_id", F.explode("prefix").alias("key"))
+    parts = texts.select("doc_id", "d1", "d2", "text").mapInArrow(_send_survivors(width, few), "bucket int, payload binary").groupBy("bucket").applyInArrow(_frequencies, "class long, keys binary, df binary")
+    ranked = cut(parts.groupBy("class").agg(F.collect_list(F.struct("keys", "df")).alias("parts")).mapInArrow(_rank, "class long, n long, ranked binary, prefix array<long>"), "ranked")
+    heads = ranked.select("class", F.explode("prefix").alias("key"))
     # Tiles: each class takes the least class it meets over prefix shingles, twice, and shares that one's tiles.
     label = lambda known: known.groupBy("key").agg(F.min("label").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    once = heads.join(label(heads.withColumn("label", F.col("doc_id"))), "key").groupBy("doc_id").agg(F.min("least").alias("label"))
-    twice = heads.join(once, "doc_id")
-    labels = cut(twice.join(label(twice), "key").groupBy("doc_id").agg(F.min("least").alias("label")), "labels")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    tiles = cut(labels.join(sizes, "label").select("doc_id", "label", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / TILE)).cast("int").alias("part")).select("doc_id", F.xxhash64("label", "part").alias("tile")), "tiles")
-    by_key = heads.join(tiles, "doc_id").select("key", "tile").distinct()
+    once = heads.join(label(heads.withColumn("label", F.col("class"))), "key").groupBy("class").agg(F.min("least").alias("label"))
+    twice = heads.join(once, "class")
+    labels = cut(twice.join(label(twice), "key").groupBy("class").agg(F.min("least").alias("label")).join(survivors.select(F.col("d1").alias("class"), "n_shingles", "members"), "class"), "labels")
+    sizes = cut(labels.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("parts")), "label-parts")
+    tiles = cut(labels.join(sizes, "label").select("class", "members", F.xxhash64("label", F.pmod(F.xxhash64("class"), "parts").cast("int")).alias("tile")), "tiles")
+    by_key = heads.join(tiles.select("class", "tile"), "class").select("key", "tile").distinct()
     x, y = by_key.alias("x"), by_key.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") < F.col("y.tile"))).select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
     pairs = cut(pairs.unionByName(tiles.select(F.col("tile").alias("a"), F.col("tile").alias("b")).distinct()), "tile-pairs")
-    sets = ranked.select("doc_id", "ranked").join(tiles, "doc_id")
-    side = lambda k, own, which: which.join(sets.withColumnRenamed("tile", own), own).select("a", "b", F.lit(k).alias("side"), "doc_id", "ranked")
+    sets = ranked.select("class", "ranked").join(tiles, "class")
+    side = lambda k, own, which: which.join(sets.withColumnRenamed("tile", own), own).select("a", "b", F.lit(k).alias("side"), "class", "members", "ranked")
     met = side(0, "a", pairs).unionByName(side(1, "b", pairs.where("a <> b")))
-    return met.groupBy("a", "b").applyInArrow(_verify_tiles, "u long, v long")
+    return met.groupBy("a", "b").applyInArrow(_verify_tiles, "u long, v long, members long")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``class_id`` (first document with the same set) and ``component_id`` (least document that links reach)."""
+    """Per row: ``doc_id``, ``text_hash`` (with the id, it names the row), ``n_shingles``, ``class_id`` (first document with the same set), ``component_id`` (least document that links reach) and ``n_links``, the documents it links with."""
     info = cut(describe_sets(docs, id_col, text_col, width), "sets")
-    classes = cut(info.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles")), "classes")
-    nodes = components(class_links(docs, classes, id_col, text_col, width))
-    named = classes.join(nodes.withColumnRenamed("node", "first"), "first", "left").select("d1", "d2", "first", F.coalesce("component", "first").alias("component"))
-    return info.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    classes = cut(info.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("members")), "classes")
+    links = cut(class_links(docs, classes, id_col, text_col, width), "class-links")
+    linked = cut(components(links.where("v is not null").select("u", "v")).withColumnRenamed("node", "d1").join(classes.select("d1", "first"), "d1"), "linked")
+    least = cut(linked.groupBy("component").agg(F.min("first").alias("least")), "least")
+    others = links.where("v is null").groupBy(F.col("u").alias("d1")).agg(F.sum("members").alias("others"))
+    known = cut(linked.join(least, "component").select("d1", "least").join(others, "d1", "left"), "known")
+    named = classes.join(known, "d1", "left").select("d1", "d2", "first", F.coalesce("least", "first").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    of = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
+    return info.join(named, ["d1", "d2"], "left").select("doc_id", "text_hash", "n_shingles", of("first").alias("class_id"), of("component").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"))

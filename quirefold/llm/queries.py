@@ -41,7 +41,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard.link_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +99,9 @@ ORACLE_SQL = {
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-        t AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT t.doc_id, e.b FROM t JOIN e ON t.r = e.a)
-        SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id FROM t LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+        t AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT t.doc_id, e.b FROM t JOIN e ON t.r = e.a),
+        k AS (SELECT a AS doc_id, count(*) AS k FROM e GROUP BY 1)
+        SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id, coalesce(any_value(k), 0)::BIGINT AS n_links FROM t LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
     "op6_quality": f"""
         WITH d AS ({_DOC_WORDS}),
         g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 7], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),

@@ -11,11 +11,13 @@ so do the hash bits: 56 bits inside a bucket that is itself chosen by hash.
 
 Defined results: a null or blank text has no words and keeps nothing; a row is known by its id
 and its text, so repeated rows remove each other's windows, and rows that share an id but
-not a text (or have none) are told apart; texts of any length are read whole.
+not a text (or have none) are told apart; texts of any length are read whole, very long ones in sections; an empty table gives
+no rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 
@@ -123,14 +125,12 @@ def _hash_windows(width: int, buckets: int):
         for batch in slices(batches):
             data, at = wh.text_bytes(batch.column("text"))
             own_ids, own_hashes = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row_id", "row_hash"))
-            for first, last in wh.pieces(data, at):
-                words = wh.find_words(data[at[first] : at[last]], at[first : last + 1] - at[first])
-                hashed = wh.word_hashes(words, byte_powers)
-                starts, doc = wh.window_starts(words.offsets, width)
+            for first, last, offsets, hashed, before, _ in wh.hashed_pieces(data, at, width, byte_powers):
+                starts, doc = wh.window_starts(offsets, width)
                 if len(starts):
                     key = wh.window_hashes(hashed, width, window_powers)[starts]
                     least = wh.sliding_min(wh.window_hashes(hashed, anchor_width, window_powers), width - anchor_width + 1)[starts]
-                    parts.append((key, least, doc + docs, starts - words.offsets[doc]))
+                    parts.append((key, least, doc + docs, starts - offsets[doc] + before))
                     ids.append(own_ids[first:last])
                     hashes.append(own_hashes[first:last])
                     docs += last - first
@@ -182,6 +182,32 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 _FOUND = re.compile(WORD)
+#: Characters from which a text's words are not listed at once.
+LONG_TEXT = 1 << 20
+
+
+def _merge(spans: list[dict], width: int) -> list[list[int]]:
+    """Maximal removal intervals of words."""
+    merged: list[list[int]] = []
+    for first, last in sorted((s["first"], s["last"] + width) for s in spans):
+        if merged and first <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], last)
+        else:
+            merged.append([first, last])
+    return merged
+
+
+def _walk(text: str, merged: list[list[int]]) -> tuple[int, str]:
+    """Number of words, and the kept ones with a space between, word by word."""
+    out, n, at = io.StringIO(), 0, 0
+    for n, m in enumerate(_FOUND.finditer(text), 1):
+        while at < len(merged) and merged[at][1] < n:
+            at += 1
+        if at == len(merged) or n - 1 < merged[at][0]:
+            if out.tell():
+                out.write(" ")
+            out.write(m[0])
+    return n, out.getvalue()
 
 
 def _strip(width: int):
@@ -189,14 +215,17 @@ def _strip(width: int):
         for batch in slices(batches):
             n_words, n_removed, kept, removed = [], [], [], []
             for text, packed in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                if text and len(text) > LONG_TEXT:
+                    merged = _merge(packed or [], width)
+                    n, left = _walk(text, merged)
+                    n_words.append(n)
+                    n_removed.append(sum(b - a for a, b in merged))
+                    kept.append(left)
+                    removed.append([{"start": a, "end": b} for a, b in merged])
+                    continue
                 found = _FOUND.findall(text or "")
                 if packed:
-                    merged: list[list[int]] = []
-                    for first, last in sorted((s["first"], s["last"] + width) for s in packed):
-                        if merged and first <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], last)
-                        else:
-                            merged.append([first, last])
+                    merged = _merge(packed, width)
                     left, at = [], 0
                     for first, last in merged:
                         left += found[at:first]

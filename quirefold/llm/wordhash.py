@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Odd multipliers of the byte and the window polynomial (arbitrary, fixed for reproducible hashes).
 BYTE_BASE, WINDOW_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-#: Text is hashed in pieces of about this many bytes, so that the working arrays stay small.
-PIECE_BYTES = 1 << 20
+#: Text is hashed in pieces of about this many bytes, so that the working arrays stay small, and a longer document in sections of so many.
+PIECE_BYTES, SECTION_BYTES = 1 << 20, 1 << 22
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,14 +103,51 @@ def find_words(data: np.ndarray, at: np.ndarray) -> Words:
 
 def word_hashes(words: Words, powers: Powers, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word's bytes, A-Z as a-z if ``lower``."""
-    data = _LOWER[words.data] if lower else words.data
-    up, down = powers.need(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-    found = (total[words.ends] - total[words.starts]) * down[words.starts]
+    found = np.zeros(len(words.starts), U64)
+    # Block by block, so that one word of very many bytes takes no more memory than many words: a word's hash adds up over the blocks it spans.
+    for at in range(0, len(words.data), SECTION_BYTES):
+        data = words.data[at : at + SECTION_BYTES]
+        up, down = powers.need(len(data) + 1)
+        total = np.zeros(len(data) + 1, U64)
+        np.cumsum(_BYTE_VALUES[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
+        a, z = np.searchsorted(words.ends, at, "right"), np.searchsorted(words.starts, at + len(data))
+        starts, ends = np.maximum(words.starts[a:z], at) - at, np.minimum(words.ends[a:z], at + len(data)) - at
+        part = (total[ends] - total[starts]) * down[starts]
+        if z > a and words.starts[a] < at:
+            part[:1] *= np.array([pow(powers.base, int(at - words.starts[a]), 1 << 64)], U64)
+        found[a:z] += part
     return mix(found + (words.ends - words.starts).astype(U64) * U64(SECOND_BASE))
 
 
+def hashed_pieces(data: np.ndarray, at: np.ndarray, width: int, powers: Powers, lower: bool = False):
+    """Word hashes piece by piece, for windows of ``width`` words: (first document, last + 1, word offsets, hashes, words before, whether the documents end here).
+
+    A long document comes in sections that begin with the last ``width - 1`` words of the one before, so each window lies in one section.
+    """
+    for first, last in pieces(data, at):
+        begin, end = int(at[first]), int(at[last])
+        if last - first > 1 or end - begin <= SECTION_BYTES:
+            words = find_words(data[begin:end], at[first : last + 1] - begin)
+            yield first, last, words.offsets, word_hashes(words, powers, lower), 0, True
+            continue
+        kept, before = np.zeros(0, U64), 0
+        while begin < end:
+            stop = _next_separator(data, min(begin + SECTION_BYTES, end), end)
+            words = find_words(data[begin:stop], np.array([0, stop - begin]))
+            hashes = np.concatenate([kept, word_hashes(words, powers, lower)])
+            yield first, last, np.array([0, len(hashes)]), hashes, before, stop == end
+            kept = hashes[max(0, len(hashes) - width + 1) :]
+            before, begin = before + len(hashes) - len(kept), stop
+
+
+def _next_separator(data: np.ndarray, start: int, end: int) -> int:
+    for at in range(start, end, PIECE_BYTES):
+        found = np.flatnonzero(_SEPARATORS[data[at : min(at + PIECE_BYTES, end)]])
+        if len(found):
+            return at + int(found[0])
+    return end
+
+
 def window_hashes(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     """Hash of every run of ``width`` successive word hashes (across documents as well)."""
     if len(hashes) < width:
