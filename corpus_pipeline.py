@@ -1,4 +1,10 @@
-"""From raw documents to token files: five stages, each over all that the one before it kept."""
+"""From raw documents to token files: five stages, each over all that the one before it kept.
+
+A document travels through a stage as one struct, so its columns may have any names beside ``doc_id``, ``text``
+and ``source``.  Null, empty and blank texts fail the quality rules and go there; rows without an id are never removed as near
+copies; equal rows stay once after the join; of rows with one id and different texts, those linked elsewhere go by their own text;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +16,38 @@ from quirefold.llm.queries import tokenizer_path
 from quirefold.llm.shared import cut, scratch
 
 
+def rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """Each document as the struct ``row``, and the columns that a stage reads."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the full policy rejects."""
-    return quality.apply_policy(quality.ledger(docs), quality.FULL, "kept").where("kept").select(*docs.columns)
+    return quality.apply_policy(quality.ledger(rows(docs, "text")), quality.FULL, "kept").where("kept").select("row.*")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least id; equal rows once."""
     links = cut(jaccard.link_documents(docs), "links")
-    kept = docs.join(cut(links.where("doc_id <> component_id").select("doc_id").distinct(), "removed"), "doc_id", "left_anti")
+    removed = cut(links.where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "removed")
     twice = cut(links.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    named = rows(docs, "doc_id").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
+    kept = named.join(removed, ["doc_id", "text_hash"], "left_anti")
     if not twice.isEmpty():
         kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates())
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     leaks = cut(decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "text_hash").distinct(), "leaks")
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.join(leaks, (hashed["text_hash"] == leaks["text_hash"]) & hashed["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*docs.columns)
+    hashed = rows(docs, "doc_id", "text").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return hashed.join(leaks, (hashed["text_hash"] == leaks["text_hash"]) & hashed["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
-    return mixing.repeat_documents(mixing.mix_sources(docs, weights=(5, 2, 1), max_epochs=3), docs.columns)
+    return mixing.repeat_documents(mixing.mix_sources(rows(docs, "doc_id", "text", "source"), weights=(5, 2, 1), max_epochs=3), ["row"]).select("row.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
