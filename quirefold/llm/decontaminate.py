@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced seeds, in built-in functions only.
 
-Texts are read as lower-case runs of letters and digits.  A seed is a fixed mask over ``SPAN``
+Texts are read as lower-case runs of letters and digits; in scripts without blanks each character is a
+word.  A seed is a fixed mask over ``SPAN``
 successive words: it hashes the words at its marked places and ignores the others, so a passage
 with substituted words still meets the benchmark wherever one placement misses the
 substitutions.  Hashes of benchmark items and of documents are joined; a hit fixes the
@@ -11,18 +12,24 @@ else of the ``SPAN`` words of the hit itself: a quote of part of an item counts
 The benchmark is the small side: its hashes are broadcast in blocks of at most ``BLOCK_HASHES``
 (some tens of MB each); a larger benchmark takes more blocks, each a pass over the documents.
 
-Defined results: null and blank texts have no words and leak nothing; items of fewer than
-``SPAN`` words are searched for as whole sequences, and those of fewer than ``LEAST_WORDS`` not at
-all; equal items are reported each; rows that share an id are told apart by their text.
+An item of fewer than ``SPAN`` words has seeds of its length alone, which are tried only if the benchmark has such items:
+its places are dealt to three groups, or to four from 8 words on, and each seed leaves out one, or two, of them, so some seed
+misses all the substitutions that ``SIMILAR`` allows.  An item of fewer than ``LEAST_WORDS`` words, which any text may hold by
+chance, leaks into documents that hold nothing else.
+
+Defined results: null and blank texts have no words and leak nothing; equal items are reported each; rows that share an id are
+told apart by their text, and equal rows are reported each; columns other than ids and texts are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let
-from .shared import cut
+from .shared import cut, likely
 
 #: Marked places of each seed: weight 7 of 11.
 SEEDS = ((0, 1, 2, 4, 7, 8, 10), (0, 2, 3, 6, 8, 9, 10))
@@ -30,43 +37,62 @@ SPAN = 11
 LEAST_WORDS, AROUND, SIMILAR, BLOCK_HASHES = 5, 8, 0.75, 1 << 20
 
 
+#: Characters of scripts that set no blanks between words: Thai to Myanmar, Khmer, kana, Han.
+UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}])"
+
+
 def _hashed_words(text: Column) -> Column:
-    """A hash for each word, 1-based places."""
-    return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    """A hash for each word, from place 0."""
+    spaced = let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(F.regexp_replace(t, UNSPACED, " $1 ")))
+    return F.transform(F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def _masks(n: int) -> list[tuple[int, ...]]:
+    """Seeds for an item of n words, fewer than ``SPAN``."""
+    if n < LEAST_WORDS:
+        return [tuple(range(n))]
+    groups, left_out = (3, 1) if int((1 - SIMILAR) * n) < 2 else (4, 2)
+    return [tuple(i for i in range(n) if i % groups not in gone) for gone in combinations(range(groups), left_out)]
 
 
-def _keys(h: Column, seeds: tuple[tuple[int, ...], ...]) -> Column:
+def _keys(h: Column, seeds: list[tuple[int, tuple[int, ...]]]) -> Column:
     """(key, place) of every placement of every seed; the place of its first word, from 0."""
-    return F.concat(*(_placements(h, k, seed) for k, seed in enumerate(seeds)))
+    return F.concat(*(_placements(h, k, n, seed) for k, (n, seed) in enumerate(seeds)))
 
 
-def _placements(h: Column, k: int, seed: tuple[int, ...]) -> Column:
-    last = F.size(h) - max(seed)
-    places = F.when(last >= 1, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+def _placements(h: Column, k: int, n: int, seed: tuple[int, ...]) -> Column:
+    """Of seed k over n words; seeds of very short items lie on texts of just their length."""
+    last = F.size(h) - n + 1
+    fits = last >= 1 if n >= LEAST_WORDS else last == 1
+    places = F.when(fits, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(k), *(h[i + o] for o in seed)).alias("key"), i.alias("place")))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each leak: ``doc_id``, ``item_id``, ``text_hash`` (with the id, it names the row), ``n_equal`` of ``n_compared`` words around the best hit, and ``first_word`` of the item in the document."""
-    items = cut(benchmark.select(F.col(item_col).cast("long").alias("item_id"), _hashed_words(F.col(item_text_col)).alias("item")).where(F.size("item") >= LEAST_WORDS), "items")
-    short = sorted(r["n"] for r in items.where(F.size("item") < SPAN).select(F.size("item").alias("n")).distinct().collect())  # fewer than SPAN values
-    seeds = SEEDS + tuple(tuple(range(n)) for n in short)
-    # Items of SPAN words and more take the spaced seeds; a whole-sequence seed serves only items of just its length.
-    hashed = lambda own, *numbers: own.select("item_id", F.explode(let(F.col("item"), lambda h: F.concat(*(_placements(h, k, seeds[k]) for k in numbers)))).alias("x")).select("item_id", "x.*")
-    per_item = hashed(items.where(F.size("item") >= SPAN), *range(len(SEEDS)))
-    for k, n in enumerate(short, len(SEEDS)):
-        per_item = per_item.unionByName(hashed(items.where(F.size("item") == n), k))
-    seeded = cut(per_item.select("item_id", "key", F.col("place").alias("item_place")), "seeds")
+    items = cut(benchmark.select(F.col(item_col).cast("long").alias("item_id"), _hashed_words(F.col(item_text_col)).alias("item")).where(F.size("item") > 0), "items")
+    lengths = sorted(r["n"] for r in items.select(F.least(F.size("item"), F.lit(SPAN)).alias("n")).distinct().collect())  # SPAN values at most
+    seeds = [(n, seed) for n in lengths for seed in (SEEDS if n == SPAN else _masks(n))]
+    # Items of SPAN words and more take the spaced seeds; the others serve only items of just their length.
+    per_item = None
+    for k, (n, seed) in enumerate(seeds):
+        own = items.where(F.size("item") >= SPAN if n == SPAN else F.size("item") == n)
+        found = own.select("item_id", F.explode(let(F.col("item"), lambda h, k=k, n=n, seed=seed: _placements(h, k, n, seed))).alias("x")).select("item_id", "x.key", F.col("x.place").alias("item_place"))
+        per_item = found if per_item is None else per_item.unionByName(found)
+    if per_item is None:
+        per_item = items.select("item_id", F.lit(0).cast("long").alias("key"), F.lit(0).alias("item_place"))
+    seeded = cut(per_item, "seeds")
     blocks = max(1, -(-seeded.count() // BLOCK_HASHES))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    placed = keyed.select("doc_id", "text_hash", F.explode(let(_hashed_words(F.col("text")), lambda h: _keys(h, seeds))).alias("x")).select("doc_id", "text_hash", "x.key", "x.place")
+    placed = keyed.select("doc_id", "text_hash", F.explode(let(_hashed_words(F.col("text")), lambda h: _keys(h, seeds or [(SPAN, SEEDS[0])]))).alias("x")).select("doc_id", "text_hash", "x.key", "x.place")
     hits = None
     for b in range(blocks):
         part = seeded.where(F.pmod("key", F.lit(blocks)) == b)
         found = placed.join(F.broadcast(part), "key").groupBy("doc_id", "text_hash", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_set("item_place").alias("places"))
         hits = found if hits is None else hits.unionByName(found)
     hits = cut(hits.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.flatten(F.collect_list("places")).alias("places")), "hits")
-    checked = hits.join(items, "item_id").join(keyed, (keyed["doc_id"].eqNullSafe(hits["doc_id"])) & (keyed["text_hash"] == hits["text_hash"])).select(hits["doc_id"], hits["text_hash"], "item_id", "shift", "places", "item", "text")
+    texts = likely(keyed, hits, ["text_hash"])
+    checked = hits.join(items, "item_id").join(texts, (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["text_hash"] == hits["text_hash"])).select(hits["doc_id"], hits["text_hash"], "item_id", "shift", "places", "item", "text")
     return _verified(checked)
 
 
