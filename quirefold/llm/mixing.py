@@ -13,7 +13,8 @@ about a small document.  Bins are summed in Spark before one source's classes (a
 64 x ``BINS`` rows) meet.
 
 Defined results: a null or blank text has size 0 and takes nothing; a null source is a source
-of its own, after all others; equal rows are taken alike; no rows give no rows.
+of its own, after all others; equal rows are taken alike; no rows give no rows; other columns pass through, but those whose
+names begin with ``mix_`` or ``_mix_`` are replaced.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` (of its source) and ``mix_times`` (whole repetitions, the sampled one included)."""
     size = F.size(words(F.col(text_col))).cast("long")
     sized = (
-        docs.withColumn("mix_size", size)
+        docs.drop(*(c for c in docs.columns if c.lower().startswith(("mix_", "_mix_")) and c not in (id_col, text_col, source_col)))
+        .withColumn("mix_size", size)
         .withColumn("mix_class", F.floor(F.log2(F.col("mix_size") + 1)).cast("int"))
         .withColumn("mix_bin", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(BINS)).cast("int"))
     )
@@ -96,4 +98,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
 
 def repeat_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixed.where("mix_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))).alias("_mix_copy")).drop("_mix_copy")
+    return mixed.where("mix_times > 0").select(*(F.col(f"`{c}`") for c in columns), F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))).alias("_mix_copy")).drop("_mix_copy")

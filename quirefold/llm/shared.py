@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import sys
 import tempfile
 import types
@@ -20,8 +21,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below a local temporary folder."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below a local temporary folder if all runs in one process (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
         spark.conf.set("spark.checkpoint.dir", base)
@@ -42,7 +45,15 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lost executors cost no recomputation beyond this point."""
     folder = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._cut_folder = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what ``cut`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._cut_folder)
 
 
 def words(text: Column) -> Column:

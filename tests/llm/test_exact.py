@@ -152,6 +152,48 @@ def test_novel_strings_beside_sensitive_words():
     assert kinds('api_key = "abcdef123456"') == ["assign"]
 
 
+def test_secrets_take_linear_time():
+    import time
+
+    novelty = secrets.Novelty()
+    for text in ("token " * 170_000, "token" * 200_000, "password=abcdef1 " * 60_000, f"secret {'aB3x' * 250_000}"):
+        began = time.thread_time()
+        secrets.find_secrets(text, novelty)
+        assert time.thread_time() - began < 10
+
+
+def test_long_documents_are_hashed_in_sections(monkeypatch):
+    """Windows and sets of a long text are the same in sections, also where one word spans several."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quirefold.llm import wordhash as wh
+
+    column = pa.array([LONG, "y" * 9000, "A b c", "", None, "one two three four five six " * 3000 + "z" * 5000 + " end"])
+    monkeypatch.setattr(wh, "PIECE_BYTES", 2000)
+
+    def found(section):
+        monkeypatch.setattr(wh, "SECTION_BYTES", section)
+        powers, windows, out = wh.Powers(wh.BYTE_BASE), wh.Powers(wh.WINDOW_BASE), {}
+        data, at = wh.text_bytes(column)
+        for first, _, offsets, hashes, before, _ in wh.hashed_pieces(data, at, 35, powers):
+            starts, doc = wh.window_starts(offsets, 35)
+            out |= {(first + int(d), int(k)): int(x) for x, d, k in zip(wh.window_hashes(hashes, 35, windows)[starts], doc, starts - offsets[doc] + before, strict=True)}
+        sets = {first + k: keys[a:z].tolist() for first, edges, keys in jaccard.Shingler(5).sets(column) for k, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True))}
+        return out, sets
+
+    whole, parts = found(1 << 22), found(1500)
+    assert whole == parts and len(whole[0]) > 30_000 and np.all(np.diff(whole[1][0]) > 0)
+
+
+def test_long_texts_lose_the_same_words():
+    merged = [[2, 4], [6, 9]]
+    text = "  a b c\td e f g h i j k "
+    words = text.split()
+    assert substring._walk(text, merged) == (11, " ".join(w for k, w in enumerate(words) if not any(a <= k < b for a, b in merged)))
+    assert substring._walk(text, []) == (11, " ".join(words)) and substring._walk(" ", []) == (0, "")
+
+
 def test_keys_that_stand_twice_or_hold_no_digit():
     novelty = secrets.Novelty()
     for key in ("qX7tLz09VbNw3KpR5sYe8HdM", "qXqtLzaGVbNwJKpRTsYeQHdM"):
@@ -163,6 +205,18 @@ def test_keys_that_stand_twice_or_hold_no_digit():
 def test_jaccard(spark, rows, odd):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op5_ngram_jaccard(spark, SF).collect()}
     assert got == brute.linked_components([(i, t) for i, t, _ in rows])
+    links = defaultdict(int)
+    sets = {i: brute.shingles(t) for i, t, _ in rows}
+    where = defaultdict(set)
+    for i, own in sets.items():
+        for g in own:
+            where[g].add(i)
+    for a, b in {(a, b) for ids in where.values() for a in ids for b in ids if a < b}:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            links[a] += 1
+            links[b] += 1
+    assert {r["doc_id"]: r["n_links"] for r in queries.op5_ngram_jaccard(spark, SF).collect()} == {i: links[i] for i in sets}
     other = jaccard.link_documents(odd).collect()
     assert len(other) == len(ODD)
     by = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in other if r["doc_id"] is not None}
@@ -227,6 +281,9 @@ def test_chat_layouts(spark):
         ('{"instruction":"do","input":"x","output":"y"}', "instruction", [("user", "do\n\nx"), ("assistant", "y")]),
         ('{"instruction":"do","output":"y"}', "instruction", [("user", "do"), ("assistant", "y")]),
         ('{"answer":"b","question":"a"}', "question", [("user", "a"), ("assistant", "b")]),
+        ('{"id":7,"tags":["x"],"messages":[{"role":"user","content":"a","weight":0.5,"meta":{"role":"z"}}]}', "messages", [("user", "a")]),
+        ('{"meta":{"prompt":"x"},"question":"a","answer":"b","content":1.25}', "question", [("user", "a"), ("assistant", "b")]),
+        ('{"meta":{"question":"a","answer":"b"}}', None, None), ('{"messages":["a"]}', None, None),
         ('{"weather":1}', None, None), ("no json", None, None), (None, None, None),
     ]
     df = chat.canonical_turns(spark.createDataFrame([(k, r[0]) for k, r in enumerate(records)], "k int, record string"))
@@ -234,8 +291,21 @@ def test_chat_layouts(spark):
         _, layout, turns = records[r["k"]]
         assert r["layout"] == layout and (turns is None) == (r["turns"] is None)
         assert turns is None or [tuple(t) for t in r["turns"]] == turns
-    read = chat.read_back(chat.format_turns(df.where("turns is not null"))).collect()
-    assert all([tuple(t) for t in r["read_turns"]] == records[r["k"]][2] for r in read)
+    read = chat.read_back(chat.format_turns(df)).collect()
+    assert len(read) == len(records)
+    for r in read:
+        turns = records[r["k"]][2]
+        assert (r["loss_text"] is None and r["formatted"] is None) if turns is None else [tuple(t) for t in r["read_turns"]] == turns
+
+
+def test_columns_of_clashing_names_pass_through(spark):
+    rows = spark.createDataFrame([(1, '{"prompt":"a","completion":"b"}', "p", "h", "b", "f")], "id int, record string, pieces string, heads string, bodies string, kept string")
+    read = chat.read_back(chat.format_turns(chat.canonical_turns(rows))).first()
+    assert (read["pieces"], read["heads"], read["bodies"], read["kept"], read["loss_text"]) == ("p", "h", "b", "f", "b")
+    docs = spark.createDataFrame([(1, "some words here", "s", 5, 6, 7)], "doc_id long, text string, source string, mix_size int, mix_target int, kept int")
+    assert mixing.mix_sources(docs).select("mix_size", "kept").first() == (3, 7)
+    empty = rows.limit(0)
+    assert chat.read_back(chat.format_turns(chat.canonical_turns(empty))).count() == 0
 
 
 def test_chat_rows_with_nulls(spark):
