@@ -23,6 +23,7 @@ told apart by their text, and equal rows are reported each; columns other than i
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -74,14 +75,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     lengths = sorted(r["n"] for r in items.select(F.least(F.size("item"), F.lit(SPAN)).alias("n")).distinct().collect())  # SPAN values at most
     seeds = [(n, seed) for n in lengths for seed in (SEEDS if n == SPAN else _masks(n))]
     # Items of SPAN words and more take the spaced seeds; the others serve only items of just their length.
-    per_item = None
-    for k, (n, seed) in enumerate(seeds):
+    def seeded_items(k: int, n: int, seed: tuple[int, ...]) -> DataFrame:
         own = items.where(F.size("item") >= SPAN if n == SPAN else F.size("item") == n)
-        found = own.select("item_id", F.explode(let(F.col("item"), lambda h, k=k, n=n, seed=seed: _placements(h, k, n, seed))).alias("x")).select("item_id", "x.key", F.col("x.place").alias("item_place"))
-        per_item = found if per_item is None else per_item.unionByName(found)
-    if per_item is None:
-        per_item = items.select("item_id", F.lit(0).cast("long").alias("key"), F.lit(0).alias("item_place"))
-    seeded = cut(per_item, "seeds")
+        return own.select("item_id", F.explode(_placements(F.col("item"), k, n, seed)).alias("x")).select("item_id", "x.key", F.col("x.place").alias("item_place"))
+
+    none = items.limit(0).select("item_id", F.lit(0).cast("long").alias("key"), F.lit(0).alias("item_place"))
+    seeded = cut(reduce(DataFrame.unionByName, (seeded_items(k, n, seed) for k, (n, seed) in enumerate(seeds)), none), "seeds")
     blocks = max(1, -(-seeded.count() // BLOCK_HASHES))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     placed = keyed.select("doc_id", "text_hash", F.explode(let(_hashed_words(F.col("text")), lambda h: _keys(h, seeds or [(SPAN, SEEDS[0])]))).alias("x")).select("doc_id", "text_hash", "x.key", "x.place")
