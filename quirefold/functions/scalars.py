@@ -120,6 +120,34 @@ def field_id(label: Column | str) -> Column:
     return let(F.substring(slug, 1, 80), lambda s: F.when(s == "", "number").otherwise(s))
 
 
+def extracted_value(raw: Column, kind: Column, provided: Column, unit: Column, target: Column) -> Column:
+    """A value read from text as text: an era wins; dates and years become ISO; a number (the text's own, or the first in it, with its scale word) is converted to the target unit; else what was provided, else the text.
+
+    What a model provides gives way to a number that the text scales ("15 million").
+    """
+    inside = F.regexp_extract(raw, r"(?i)([-(]?\d[\d.,]*\)?(?:\s*(?:million|billion|trillion|thousand))?)", 1)
+    number = F.coalesce(parse_number(raw), parse_number(F.regexp_replace(inside, r"[.,]+$", "")))
+    converted = F.coalesce(F.when((unit != "") & (target != ""), normalize_unit(number, unit, target)), number)
+    shown = lambda v: F.when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string"))
+    date = normalize_date(raw)
+    return (
+        F.when(raw.rlike(r"(?i)\b\d{1,5}\s*BCE?\b"), date)
+        .when(kind.isin("date", "year") & date.isNotNull(), date)
+        .when((kind == "number") & converted.isNotNull(), shown(converted))
+        .otherwise(F.coalesce(provided, raw))
+    )
+
+
+def canonical_field(name: Column | str, aliases: dict[str, str] | None = None) -> Column:
+    """One spelling of a field's name: lower case, ``&`` as "and", single underscores; then its alias.  Compatibility forms of letters must be levelled before (``document.source_key``)."""
+    name = F.col(name) if isinstance(name, str) else name
+    slug = F.trim(F.regexp_replace(F.replace(F.lower(name), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
+    if not aliases:
+        return slug
+    table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return let(slug, lambda s: F.coalesce(table[s], s))
+
+
 def entity_name(name: Column | str) -> Column:
     """Trimmed, single spaces, no closing punctuation, case as it is."""
     name = F.col(name) if isinstance(name, str) else name

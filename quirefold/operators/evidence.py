@@ -6,6 +6,8 @@ exploded beside each record: records are read once, and no join multiplies them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,14 +17,30 @@ STATUSES = {"llm_failed": 0, "parse_failed": 1, "uncertain": 2, "no_evidence": 3
 LEVELS = {"none": 0, "uncertain": 1, "mention_only": 2, "substantive": 3}
 
 
+def phrase_pattern(phrase: str) -> str:
+    """A topic phrase as whole words, joined by blanks or dashes, in lower case; for Java, RE2 and Python alike."""
+    return r"(?:^|[^\p{L}\p{N}_])" + r"[\s\-–—]+".join(re.escape(w) for w in phrase.lower().split()) + r"(?:$|[^\p{L}\p{N}_])"
+
+
+#: Sentences that declare a topic absent; what follows the cue is what they are silent about.
+DECLARES_ABSENCE = r"\b(?:not (?:covered|discussed|mentioned|reported|included)|no (?:information|mention|data|record)|(?:does|do|did) not (?:cover|discuss|mention|report|include))\b"
+
+
 def has_phrase(text: Column, phrase: str) -> Column:
-    """Whether a topic phrase stands in a text, its words joined by blanks or dashes, case aside."""
-    return F.lower(text).rlike(r"[\s\-–—]+".join(phrase.lower().split()))
+    """Whether a topic phrase stands in a text as whole words, case aside."""
+    return F.lower(text).rlike(phrase_pattern(phrase))
+
+
+def treats_phrase(text: Column, phrase: str) -> Column:
+    """Whether a sentence of a text has a topic phrase and does not declare it absent."""
+    low = F.lower(text)
+    said = F.exists(F.split(low, r"(?<=[.!?])\s+|\n\s*\n"), lambda s: s.rlike(phrase_pattern(phrase)) & ~s.rlike(DECLARES_ABSENCE))
+    return has_phrase(text, phrase) & said
 
 
-def map_statuses(records: DataFrame, key: str, text: str, topics: list[str]) -> DataFrame:
+def map_statuses(records: DataFrame, key: str, text: str, topics: list[str], test=treats_phrase) -> DataFrame:
     """One status for each record and topic: found, absent, or parse_failed where there is no text to read."""
-    pairs = F.array(*(F.struct(F.lit(t).alias("topic"), F.when(F.col(text).isNull(), "parse_failed").when(has_phrase(F.col(text), t), "evidence_found").otherwise("no_evidence").alias("status")) for t in topics))
+    pairs = F.array(*(F.struct(F.lit(t).alias("topic"), F.when(F.col(text).isNull(), "parse_failed").when(test(F.col(text), t), "evidence_found").otherwise("no_evidence").alias("status")) for t in topics))
     return records.select(key, F.explode(pairs).alias("x")).select(key, "x.topic", "x.status")
 
 
@@ -33,9 +51,9 @@ def coverage_report(statuses: DataFrame, topic: str = "topic") -> DataFrame:
     return statuses.groupBy(topic).agg(F.count("*").alias("n_records"), found.alias("n_found"), none.alias("n_none"), F.round(100.0 * (found + none) / F.count("*"), 2).alias("coverage"))
 
 
-def absence_matrix(records: DataFrame, text: str, topics: list[str]) -> DataFrame:
+def absence_matrix(records: DataFrame, text: str, topics: list[str], test=treats_phrase) -> DataFrame:
     """Per topic: records that state it, and whether it is the one topic that none states.  One pass, one row for each topic."""
-    counts = records.agg(*(F.count_if(has_phrase(F.col(text), t)).alias(f"c{k}") for k, t in enumerate(topics)), F.count("*").alias("n"))
+    counts = records.agg(*(F.count_if(F.coalesce(test(F.col(text), t), F.lit(False))).alias(f"c{k}") for k, t in enumerate(topics)), F.count("*").alias("n"))
     rows = counts.select(F.explode(F.array(*(F.struct(F.lit(t).alias("topic"), F.col(f"c{k}").alias("n_records")) for k, t in enumerate(topics)))).alias("x"), "n").select("x.topic", "x.n_records", F.col("n").alias("n_all"))
     absent = F.sum((F.col("n_records") == 0).cast("int")).over(W.partitionBy(F.lit(0)))
     return rows.select("topic", "n_records", "n_all", ((F.col("n_records") == 0) & (absent == 1)).alias("is_answer"))

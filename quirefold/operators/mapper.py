@@ -23,6 +23,12 @@ TOPICS = "array<struct<topic:string,level:string,exact_quote:string,page:int>>"
 RESULT = f"question_id string, document_id string, record_id string, ordinal int, status string, evidence {EVIDENCE}, topics {TOPICS}, error string"
 
 
+def _treats(text: str, phrase: str) -> bool:
+    """``evidence.treats_phrase`` in plain Python."""
+    said = re.compile(r"(?<!\w)" + r"[\s\-–—]+".join(map(re.escape, phrase.lower().split())) + r"(?!\w)")
+    return any(said.search(s) and not re.search(ev.DECLARES_ABSENCE, s) for s in re.split(r"(?<=[.!?])\s+|\n\s*\n", text.lower()))
+
+
 class EvidenceProvider(Protocol):
     """Reads one record for one question; a model-backed one is made anew in each partition."""
 
@@ -39,7 +45,7 @@ class LexicalProvider:
             shared = asked & set(re.findall(r"[a-z]{4,}", sentence.lower()))
             if len(shared) >= 2 and len(sentence.strip()) >= 8:
                 found.append({"claim": " ".join(sentence.split()), "exact_quote": sentence.strip(), "confidence": min(1.0, len(shared) / max(len(asked), 1)), "entity": record["title"], "role": "support"})
-        topics = [{"topic": t, "level": "mention_only" if re.search(r"[\s\-–—]+".join(map(re.escape, t.lower().split())), record["text"].lower()) else "none"} for t in question["topics"]]
+        topics = [{"topic": t, "level": "mention_only" if _treats(record["text"], t) else "none"} for t in question["topics"]]
         return {"status": "evidence_found" if found else "no_evidence", "evidence": found, "topics": topics}
 
 
@@ -79,44 +85,125 @@ def validated(answer: dict, question: dict, record: dict) -> tuple[str, list[dic
     return status, kept, topics
 
 
-def map_records(records: DataFrame, plans: list[Plan], provider=LexicalProvider, attempts: int = 2) -> DataFrame:
-    """Every record read for every question: questions ride with the function, so records are neither copied nor joined."""
+def _read(reader, question: dict, batch: list[dict], attempts: int) -> list[tuple]:
+    """(status, evidence, topics, error) of each record for one question: one call for the batch if the reader takes batches, what does not come back complete is asked again."""
+    if len(batch) > 1 and not hasattr(reader, "read_many"):
+        return [found for r in batch for found in _read(reader, question, [r], attempts)]
+    done: dict[str, tuple] = {}
+    left = batch
+    for _ in range(attempts):
+        if not left:
+            break
+        try:
+            if len(left) > 1:
+                answers = reader.read_many(question, left)
+                answers = reply_json(answers) if isinstance(answers, str) else answers
+            else:
+                answers = {left[0]["record_id"]: reader.read(question, left[0])}
+            errors = dict.fromkeys((r["record_id"] for r in left), "no answer for this record")
+        except Exception as e:  # a provider may fail in any way: the pairs are kept with its error and repaired later
+            answers, errors = {}, dict.fromkeys((r["record_id"] for r in left), f"{type(e).__name__}: {e}")
+            failed = "llm_failed"
+        else:
+            failed = "parse_failed"
+        for r in left:
+            answer = answers.get(r["record_id"])
+            if answer is None:
+                done[r["record_id"]] = (failed, [], [], errors[r["record_id"]])
+                continue
+            try:
+                status, evidence, topics = validated(reply_json(answer) if isinstance(answer, str) else answer, question, r)
+                done[r["record_id"]] = (status, evidence, topics, "")
+            except Exception as e:  # an answer of another form than asked for
+                done[r["record_id"]] = ("parse_failed", [], [], f"{type(e).__name__}: {e}")
+        left = [r for r in left if done[r["record_id"]][0] in ("llm_failed", "parse_failed")]
+    return [done[r["record_id"]] for r in batch]
+
+
+def _packed(records: list[dict], max_items: int, max_chars: int) -> list[list[dict]]:
+    """Records in order, dealt to calls of bounded size; a longer record goes alone."""
+    out: list[list[dict]] = []
+    held = 0
+    for r in records:
+        if not out or len(out[-1]) >= max_items or held + len(r["text"]) > max_chars:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += len(r["text"])
+    return out
+
+
+def map_records(records: DataFrame, plans: list[Plan], provider=LexicalProvider, attempts: int = 2, max_items: int = 3, max_chars: int = 18_000) -> DataFrame:
+    """Every record read for every question: questions ride with the function, so records are neither copied nor joined.
+
+    A column ``asked`` (an array of question ids) restricts a record to those questions.  Providers with ``read_many(question, records)``,
+    which returns answers by record id, get up to ``max_items`` records and ``max_chars`` characters a call.
+    """
     questions = [{"question_id": p.question_id, "question": p.question, "topics": list(p.topics), "slots": len(p.operations) + 1} for p in plans]
+    some = "asked" in records.columns
 
     def scan(batches):
         reader = provider()
         for pdf in batches:
+            every = [{**r, "text": r["text"] or ""} for r in pdf.to_dict("records")]
             rows = []
-            for record in pdf.to_dict("records"):
-                record["text"] = record["text"] or ""
-                for q in questions:
-                    error = ""
-                    for _ in range(attempts):
-                        try:
-                            answer = reader.read(q, record)
-                            status, evidence, topics = validated(reply_json(answer) if isinstance(answer, str) else answer, q, record)
-                        except Exception as e:  # a provider may fail in any way: the pair is kept with its error and repaired later
-                            status, evidence, topics, error = "llm_failed", [], [], f"{type(e).__name__}: {e}"
-                        if status not in ("llm_failed", "parse_failed"):
-                            error = ""
-                            break
-                    rows.append((q["question_id"], record["document_id"], record["record_id"], record["ordinal"], status, evidence, topics, error))
+            for q in questions:
+                for call in _packed([r for r in every if not some or q["question_id"] in r["asked"]], max_items, max_chars):
+                    rows += [(q["question_id"], r["document_id"], r["record_id"], r["ordinal"], *found) for r, found in zip(call, _read(reader, q, call, attempts), strict=True)]
             yield pd.DataFrame(rows, columns=["question_id", "document_id", "record_id", "ordinal", "status", "evidence", "topics", "error"])
 
-    return records.select("document_id", "record_id", "ordinal", "title", "text").mapInPandas(scan, RESULT)
+    return records.select("document_id", "record_id", "ordinal", "title", "text", *(["asked"] if some else [])).mapInPandas(scan, RESULT)
 
 
-def repaired(records: DataFrame, results: DataFrame, plans: list[Plan], provider) -> DataFrame:
-    """Only failed pairs are read again; of both results the better status stays."""
-    failed = results.where(F.col("status").isin("llm_failed", "parse_failed"))
-    again = map_records(records.join(failed.select("document_id", "record_id").distinct(), ["document_id", "record_id"], "left_semi"), plans, provider)
+def reread(records: DataFrame, results: DataFrame, pairs: DataFrame, plans: list[Plan], provider) -> DataFrame:
+    """Results after ``pairs (question_id, document_id, record_id)`` are read again; of two results the better status stays."""
+    asked = pairs.groupBy("document_id", "record_id").agg(F.collect_set("question_id").alias("asked"))
+    again = map_records(records.join(asked, ["document_id", "record_id"]), plans, provider)
     keys = ["question_id", "document_id", "record_id"]
-    again = again.join(failed.select(*keys), keys, "left_semi")
     rank = F.create_map(*(F.lit(x) for pair in ev.STATUSES.items() for x in pair))[F.col("status")]
     both = results.withColumn("later", F.lit(0)).unionByName(again.withColumn("later", F.lit(1)))
     return rel.first_rows(both, keys, [rank.desc(), F.col("later").desc()]).drop("later")
 
 
+def repaired(records: DataFrame, results: DataFrame, plans: list[Plan], provider) -> DataFrame:
+    """Only failed pairs are read again, each for its own question."""
+    failed = results.where(F.col("status").isin("llm_failed", "parse_failed")).select("question_id", "document_id", "record_id")
+    return reread(records, results, failed, plans, provider)
+
+
+def overlooked(records: DataFrame, results: DataFrame, plans: list[Plan], share: float = 0.25, least: int = 2, k: int = 4) -> DataFrame:
+    """Pairs that were read without evidence though the record holds rare words of the question: ``least`` or more, the ``k`` best records a question."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
+    spark = records.sparkSession
+    asked = spark.createDataFrame([(p.question_id, p.question) for p in plans], "question_id string, question string").select("question_id", F.explode(words(F.col("question"))).alias("term"))
+    key = F.struct("ordinal", "document_id", "record_id").alias("record")
+    terms = records.select(key, F.explode(words(F.col("text"))).alias("term"))
+    found = ev.dismissed_matches(asked, terms, F.lit(records.count()), "question_id", "record", share, least, k)
+    dismissed = results.where("status = 'no_evidence'").select("question_id", "document_id", "record_id")
+    return found.select("question_id", "record.document_id", "record.record_id").join(dismissed, ["question_id", "document_id", "record_id"])
+
+
+def lexical_selection(records: DataFrame, plans: list[Plan], total: int = 8, quotas: tuple[int, int, int] = (3, 3, 2)) -> DataFrame:
+    """Per question, the records whose words match it best, from each third of the document by quota and then the next best up to ``total``."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
+    asked = F.array(*(F.struct(F.lit(p.question_id).alias("question_id"), words(F.lit(p.question)).alias("words")) for p in plans))
+    expected = records.groupBy("document_id").agg(F.max("ordinal").alias("expected"))
+    scored = records.join(expected, "document_id").withColumn("tercile", sc.tercile(F.col("ordinal"), F.col("expected"))).select("document_id", "record_id", "ordinal", "tercile", words(F.col("text")).alias("own"), F.explode(asked).alias("q")).select("q.question_id", "document_id", "record_id", "ordinal", "tercile", F.size(F.array_intersect("own", F.col("q.words"))).alias("score")).where("score > 0")
+    best = [F.col("score").desc(), F.col("ordinal"), F.col("record_id")]
+    # The constant bound lets Spark cut each third before the shuffle; the quota decides after it, and the rest fills up.
+    ranked = scored.withColumn("rk", F.row_number().over(W.partitionBy("question_id", "document_id", "tercile").orderBy(*best))).where(F.col("rk") <= total)
+    first = F.col("rk") <= F.element_at(F.array(*map(F.lit, quotas)), F.col("tercile") + 1)
+    placed = ranked.withColumn("place", F.row_number().over(W.partitionBy("question_id", "document_id").orderBy(first.desc(), *best)))
+    return placed.where(F.col("place") <= total).select("question_id", "document_id", "record_id", "ordinal", "score", "place")
+
+
+def evidence_packet(results: DataFrame) -> DataFrame:
+    """Per question: pairs read, with evidence, uncertain and failed, and whether its evidence needs repair: none found, or a failed pair."""
+    count = lambda *s: F.count_if(F.col("status").isin(*s))
+    counts = results.groupBy("question_id").agg(F.count("*").alias("n_read"), count("evidence_found").alias("n_found"), count("uncertain").alias("n_uncertain"), count("llm_failed", "parse_failed").alias("n_missing"))
+    return counts.withColumn("needs_repair", (F.col("n_found") == 0) | (F.col("n_missing") > 0))
+
+
 def evidence_rows(results: DataFrame) -> DataFrame:
     """Flat evidence, one row for each (record, quote, claim) after levelling, in order of page, record and claim."""
     flat = results.select("question_id", "document_id", "record_id", "ordinal", F.explode("evidence").alias("e")).select("question_id", "document_id", "record_id", "ordinal", "e.*")
@@ -178,9 +265,12 @@ def evidence_payload(evidence: DataFrame) -> DataFrame:
 
 
 def fallback_answers(evidence: DataFrame, lookup: bool = False, most: int = 10) -> DataFrame:
-    """An answer from evidence alone: its first claim for a lookup, else its first distinct claims."""
-    claims = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("page", "record_id", "claim"))), lambda x: x["claim"]))
-    listed = evidence.groupBy("question_id").agg(claims.alias("claims"))
+    """An answer from evidence alone: its first claim for a lookup, else its first distinct claims.  Claims are ranked and cut before any are gathered."""
+    once = rel.first_rows(evidence.select("question_id", "page", "record_id", "claim"), ["question_id", "claim"], [F.col("page"), F.col("record_id")])
+    place = F.row_number().over(W.partitionBy("question_id").orderBy("page", "record_id", "claim"))
+    kept = once.withColumn("place", place).where(F.col("place") <= most)
+    claims = F.transform(F.array_sort(F.collect_list(F.struct("place", "claim"))), lambda x: x["claim"])
+    listed = kept.groupBy("question_id").agg(claims.alias("claims"))
     text = F.array_join(F.slice("claims", 1, 1 if lookup else most), " ")
     return listed.select("question_id", F.when(text.rlike(r"[.!?]$"), text).otherwise(F.concat(text, F.lit("."))).alias("answer"))
 

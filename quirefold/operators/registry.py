@@ -34,9 +34,9 @@ def compile_documents(pages: DataFrame, vocabulary: doc.Vocabulary | None = None
         own = {int(n): t or "" for n, t in zip(pdf["page_number"][::-1], pdf["text"][::-1], strict=True)}
         read = doc.Document(sorted(own.items()), vocabulary)
         found = doc.compile_records(read)
-        records = doc.drop_label_titles(found.records)
+        records = doc.named_records(found.records)
         if fold:
-            records, _ = doc.fold_synonyms(records)
+            records, _ = doc.fold_synonyms(records, vocabulary)
         entries, trusted = doc.compile_contents(read.pages)
         nested = lambda rs: [{**asdict(r), "facts": [asdict(f) for f in r.facts]} for r in rs]
         row = [pdf["document_id"].iloc[0], COMPILER_VERSION, found.kind, found.entity, found.trusted, len(read.pages), found.signals, found.warnings, nested(records), nested(found.supplements), doc.compile_tables(read.pages), entries, trusted]

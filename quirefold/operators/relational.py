@@ -66,7 +66,7 @@ def field_catalog(facts: DataFrame, n_records: Column, share: float = 0.3, least
 def modal_value(df: DataFrame, group: str, value: str) -> DataFrame:
     """The most frequent value of each group, the least of equals."""
     counts = df.groupBy(group, value).agg(F.count("*").alias("n"))
-    return counts.groupBy(group).agg(F.max_by(value, F.struct("n")).alias("any"), F.max("n").alias("n")).join(counts, [group, "n"]).groupBy(group, "n").agg(F.min(value).alias(value))
+    return counts.groupBy(group).agg(F.max("n").alias("n")).join(counts, [group, "n"]).groupBy(group, "n").agg(F.min(value).alias(value))
 
 
 def unit_outliers(facts: DataFrame, record: str = "record_id", field: str = "field", unit: str = "unit") -> DataFrame:

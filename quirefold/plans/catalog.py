@@ -210,12 +210,12 @@ def record_packing(t):
     return seq.pack_records(sized, "conv_id", "turn", "size", 3, 1500)
 
 
-_PHRASE = {x: x.replace(" ", r"[\s\-–—]+") for x in TOPICS}
+_PHRASE = {x: r"(?:^|[^\p{L}\p{N}_])" + x.replace(" ", r"[\s\-–—]+") + r"(?:$|[^\p{L}\p{N}_])" for x in TOPICS}
 
 
 @query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{x}' AS topic, count(*) FILTER (regexp_matches(lower(text), '{p}')) AS n_records, count(*) AS n_all FROM documents" for x, p in _PHRASE.items()) + ") SELECT topic, n_records, n_all, n_records = 0 AND (SELECT count(*) FROM c WHERE n_records = 0) = 1 AS is_answer FROM c")
 def absence_matrix(t):
-    return ev.absence_matrix(t("documents"), "text", TOPICS)
+    return ev.absence_matrix(t("documents"), "text", TOPICS, ev.has_phrase)
 
 
 _STATUS = "(" + " UNION ALL ".join(f"SELECT doc_id, '{x}' AS topic, CASE WHEN text IS NULL THEN 'parse_failed' WHEN regexp_matches(lower(text), '{p}') THEN 'evidence_found' ELSE 'no_evidence' END AS status FROM documents" for x, p in _PHRASE.items()) + ")"
@@ -223,12 +223,12 @@ _STATUS = "(" + " UNION ALL ".join(f"SELECT doc_id, '{x}' AS topic, CASE WHEN te
 
 @query(f"SELECT doc_id, topic, status FROM {_STATUS}")
 def exhaustive_map_status(t):
-    return ev.map_statuses(t("documents"), "doc_id", "text", TOPICS)
+    return ev.map_statuses(t("documents"), "doc_id", "text", TOPICS, ev.has_phrase)
 
 
 @query(f"SELECT topic, count(*) AS n_records, count(*) FILTER (status = 'evidence_found') AS n_found, count(*) FILTER (status = 'no_evidence') AS n_none, round(100.0 * count(*) FILTER (status IN ('evidence_found', 'no_evidence')) / count(*), 2)::DOUBLE AS coverage FROM {_STATUS} GROUP BY 1")
 def coverage_report(t):
-    return ev.coverage_report(ev.map_statuses(t("documents"), "doc_id", "text", TOPICS)).withColumn("coverage", F.col("coverage").cast("double"))
+    return ev.coverage_report(ev.map_statuses(t("documents"), "doc_id", "text", TOPICS, ev.has_phrase)).withColumn("coverage", F.col("coverage").cast("double"))
 
 
 @query("WITH s AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS claim FROM documents) SELECT source, count(*) AS n_lines, count(DISTINCT trim(regexp_replace(lower(claim), '\\s+', ' ', 'g'))) AS n_claims FROM s WHERE claim <> '' GROUP BY 1")

@@ -6,8 +6,11 @@ import re
 from dataclasses import dataclass, replace
 from typing import Protocol
 
-SHAPES = ("count_entities", "count_by_threshold", "extremum", "unit_outlier", "claim_conflict", "relation", "dated_event", "absence", "contents_index", "synthesis")
-STRATEGY = {"absence": "absence_matrix", "claim_conflict": "claim_compare", "synthesis": "hierarchical_synthesis", "relation": "exhaustive_lookup"}
+SHAPES = ("count_entities", "count_by_threshold", "extremum", "unit_outlier", "claim_conflict", "relation", "dated_event", "needle", "absence", "contents_index", "synthesis")
+STRATEGY = {"absence": "absence_matrix", "claim_conflict": "claim_compare", "synthesis": "hierarchical_synthesis", "relation": "exhaustive_lookup", "needle": "exhaustive_lookup"}
+#: What a question says when it asks for a narrow fact.
+NEEDLE_CUES = {"origin": r"\b(?:begin|began|start|started|opened?|founded) (?:out |life )?as\b", "age": r"\bhow old\b|\bestimated age\b", "first_record": r"\b(?:first|earliest)\b.*\brecord(?:ed|s)?\b"}
+RELATION_CUES = r"\b(?:straddl\w+|transboundary|cross-border|twinned|across (?:a|the) border|shared (?:by|between|with))\b"
 CONTENT_KINDS = {"box": "boxes", "spotlight": "spotlights", "figure": "figures", "table": "tables"}
 #: Arguments without which a shape cannot run.
 REQUIRED = {"count_by_threshold": ("field", "threshold"), "extremum": ("field", "direction"), "absence": ("topics",), "contents_index": ("categories",)}
@@ -26,6 +29,7 @@ class Catalog:
     fields: tuple[str, ...] = ()
     groups: tuple[str, ...] = ()
     entity: str = "entity"
+    statuses: tuple[str, ...] = ()  # that records may state, known to the caller
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,9 @@ class Plan:
     direction: str | None = None
     topics: tuple[str, ...] = ()
     categories: tuple[str, ...] = ()
+    phrase: str = ""  # of an event, or the subject of a narrow fact
+    kind: str = ""  # of a narrow fact
+    statuses: tuple[str, ...] = ()
     confident: bool = False
     operations: tuple[str, ...] = ()
 
@@ -71,6 +78,12 @@ def topics_of(question: str) -> tuple[str, ...]:
     return tuple(p.strip(" .?") for p in parts if p.strip(" .?"))
 
 
+def subject_of(question: str) -> str:
+    """The name that a question is about: its longest run of capitalised words after the first word."""
+    runs = re.findall(r"(?<=\s)[A-Z][\w'\-]*(?: [A-Z][\w'\-]*)*", question)
+    return max(runs, key=len, default="")
+
+
 def _words(text: str) -> set[str]:
     return {w.rstrip("s") for w in re.findall(r"[a-z]+", text.lower()) if w not in _STOP and len(w) > 2}
 
@@ -97,12 +110,19 @@ def compile_question(question_id: str, question: str, catalog: Catalog) -> Plan:
         return replace(plan, shape="unit_outlier", field=bound, confident=True, operations=("group_by", "filter"))
     if re.search(r"\b(?:contradict\w*|conflict\w*|claims?)\b", low):
         return replace(plan, shape="claim_conflict", field=bound, direction="min" if re.search(_MIN, low) else "max", confident=True, operations=("join", "compare"))
-    if re.search(r"\byears?\b", low) and re.search(r"\b(?:closest|apart|between|after|before)\b", low):
-        return replace(plan, shape="dated_event", field=bound, operations=("join", "date_difference"))
+    if re.search(RELATION_CUES, low):
+        return replace(plan, shape="relation", confident=True, operations=("filter", "join"))
+    for kind, cue in NEEDLE_CUES.items():
+        if re.search(cue, low):
+            return replace(plan, shape="needle", kind=kind, phrase=subject_of(question), confident=True, operations=("filter",))
+    if re.search(r"\byears?\b|\bfounded\b|\bestablished\b", low) and re.search(r"\b(?:closest|nearest|apart|between|after|before)\b", low):
+        event = re.search(r"[\"“']([^\"”']{3,60})[\"”']", question)
+        return replace(plan, shape="dated_event", field=bound, phrase=event[1] if event else "", confident=event is not None, operations=("join", "date_difference"))
     if limit and re.search(r"\bhow many\b|\bwhich\b|\blist\b", low):
         return replace(plan, shape="count_by_threshold", field=bound, comparator=limit[0], threshold=limit[1], confident=bound is not None, operations=("filter", "count", "list"))
     if re.search(_MAX, low) or re.search(_MIN, low):
-        return replace(plan, shape="extremum", field=bound, direction="max" if re.search(_MAX, low) else "min", confident=bound is not None, operations=("argmax" if re.search(_MAX, low) else "argmin",))
+        stated = tuple(s for s in catalog.statuses if re.search(rf"\b{re.escape(s.lower())}\b", low))
+        return replace(plan, shape="extremum", field=bound, statuses=stated, direction="max" if re.search(_MAX, low) else "min", confident=bound is not None, operations=("argmax" if re.search(_MAX, low) else "argmin",))
     if re.search(r"\bhow many\b", low):
         return replace(plan, shape="count_entities", confident=True, operations=("group_by", "count") if plan.groups else ("count",))
     return plan

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import written
 from ..operators import mapper, registry
 from ..sources import store, text
 from . import executor, questions
@@ -47,18 +48,47 @@ def missing_slots(answer: str, slots: tuple[str, ...]) -> list[str]:
 def sentence_of(rows: list, plan: questions.Plan) -> tuple[str, str, list[int]]:
     """(answer, value, pages) of executed rows; runners-up follow the first, named after the direction asked for."""
     rows = sorted(rows, key=lambda r: (r["rk"] or 0, r["title"] or "", r["grp"] or ""))
-    shown = lambda r: f"{r['title'] or r['grp'] or 'total'}" + (f" ({r['value']:g})" if r["value"] is not None else "")
+    shown = lambda r: f"{r['title'] or r['grp'] or 'total'}" + (f" ({written(r['value'])})" if r["value"] is not None else "")
     pages = sorted({r["page"] for r in rows if r["page"] is not None})
     if plan.shape == "extremum":
         rest = f" The next {'highest' if plan.direction == 'max' else 'lowest'}: {', '.join(shown(r) for r in rows[1:])}." if rows[1:] else ""
-        return f"{shown(rows[0])}.{rest}", f"{rows[0]['value']:g}", pages
+        return f"{shown(rows[0])}.{rest}", written(rows[0]["value"]), pages
     value = rows[0]["value"]
-    return "; ".join(shown(r) for r in rows) + ".", "" if value is None else f"{value:g}", pages
+    return "; ".join(shown(r) for r in rows) + ".", "" if value is None else written(value), pages
 
 
-def answer_questions(compiled: DataFrame, asked: list[tuple[str, str]], provider=mapper.LexicalProvider, router: questions.Router | None = None) -> DataFrame:
+#: Rows of an answer that are named in it; the rest is counted.
+MOST_SHOWN = 200
+
+
+def read_records(own: registry.Registry, plans: list[questions.Plan], provider, kept: store.RunStore | None = None) -> DataFrame:
+    """The exhaustive map with its repairs: failed pairs once more, then records that were dismissed though they hold a question's rare words.
+
+    Each step is written to ``kept`` (or persisted, where there is none) before the next one reads it, so a provider is never asked twice for one pair.
+    """
+    records = own.mapping_records
+
+    def settled(df: DataFrame, name: str) -> DataFrame:
+        if kept is None:
+            return df.persist()
+        kept.save(df, name, "question_id")
+        return kept.load(name)
+
+    results = settled(mapper.map_records(records, plans, provider), "map_results")
+    if not results.where(F.col("status").isin("llm_failed", "parse_failed")).isEmpty():
+        results = settled(mapper.repaired(records, results, plans, provider), "map_repaired")
+    looked_up = [p for p in plans if p.shape != "absence"]
+    empty = [r["question_id"] for r in mapper.evidence_packet(results).where("needs_repair").select("question_id").collect()]  # questions of the caller's list
+    again = [p for p in looked_up if p.question_id in empty]
+    if again:
+        pairs = mapper.overlooked(records, results, again).unionByName(mapper.lexical_selection(records, again).select("question_id", "document_id", "record_id")).distinct()
+        results = settled(mapper.reread(records, results, pairs, again, provider), "map_reread")
+    return results
+
+
+def answer_questions(compiled: DataFrame, asked: list[tuple[str, str]], provider=mapper.LexicalProvider, router: questions.Router | None = None, kept: store.RunStore | None = None) -> DataFrame:
     """``(question_id, answer, result_value, pages, note)``: one row for each question that has an answer."""
-    spark, own = compiled.sparkSession, registry.Registry(compiled)
+    spark, own = compiled.sparkSession, registry.Registry(compiled.persist())
     catalog = executor.catalog_of(own)
     plans = [questions.compile_question(i, q, catalog) for i, q in asked]
     if router is not None:
@@ -66,23 +96,23 @@ def answer_questions(compiled: DataFrame, asked: list[tuple[str, str]], provider
     done, left = [], []
     for plan in plans:
         found = executor.execute(plan, own)
-        rows = found.collect() if found is not None else []  # an answer is a few rows
+        rows = found.orderBy("rk", "title", "grp").limit(MOST_SHOWN + 1).collect() if found is not None else []
         if rows:
-            answer, value, pages = sentence_of(rows, plan)
+            answer, value, pages = sentence_of(rows[:MOST_SHOWN], plan)
+            answer += f" And {found.count() - MOST_SHOWN} more." if len(rows) > MOST_SHOWN else ""
             done.append((plan.question_id, answer, value or None, pages, "computed from the registry"))
         else:
             left.append(plan)
     parts = [spark.createDataFrame(done, _EMPTY)]
     if left:
-        results = mapper.repaired(own.mapping_records, (first := mapper.map_records(own.mapping_records, left, provider).persist()), left, provider)
-        evidence = mapper.evidence_rows(results)
+        results = read_records(own, left, provider, kept)
+        absent = [p.question_id for p in left if p.shape == "absence"]
+        evidence = mapper.evidence_rows(results.where(~F.col("question_id").isin(absent)))
         pages = evidence.groupBy("question_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
-        absent = {p.question_id for p in left if p.shape == "absence"}
         n = own.mapping_records.count()
-        said = mapper.absence_answer(results.where(F.col("question_id").isin(list(absent))), n).select("question_id", F.col("topic").alias("answer"), F.col("topic").alias("result_value"), F.array().cast("array<int>").alias("pages"), F.lit("in no record").alias("note"))
-        read = mapper.fallback_answers(evidence.where(~F.col("question_id").isin(list(absent)))).join(pages, "question_id").select("question_id", "answer", F.lit(None).cast("string").alias("result_value"), "pages", F.lit("from evidence").alias("note"))
+        said = mapper.absence_answer(results.where(F.col("question_id").isin(absent)), n).select("question_id", F.col("topic").alias("answer"), F.col("topic").alias("result_value"), F.array().cast("array<int>").alias("pages"), F.lit("in no record").alias("note"))
+        read = mapper.fallback_answers(evidence).join(pages, "question_id").select("question_id", "answer", F.lit(None).cast("string").alias("result_value"), "pages", F.lit("from evidence").alias("note"))
         parts += [said, read]
-        del first
     return reduce(DataFrame.unionByName, parts)
 
 

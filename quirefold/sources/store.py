@@ -19,6 +19,10 @@ class RunStore:
     def load(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}")
 
+    def load_of(self, table: str, ids: list[str], by: str = "document_id") -> DataFrame:
+        """Rows of some documents or runs: their partitions alone are read."""
+        return self.load(table).where(F.col(by).isin(ids))
+
     def stale(self, compiled: str, version: str) -> DataFrame:
         """Documents compiled by another version, to be compiled anew."""
         return self.load(compiled).where(F.col("compiler_version") != version).select("document_id")
@@ -33,6 +37,19 @@ def cache_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*(p.alias(f"p{k}") for k, p in enumerate(parts)))), 256), 1, 28)
 
 
+def upserted(submission: DataFrame, answers: DataFrame) -> DataFrame:
+    """A submission ``(ordinal, id, answer, error, evidence)`` with new answers ``(question_id, answer, result_value, pages, note)`` in place; other rows, and their order, stay."""
+    asked = submission.select(F.col("id").alias("question_id"), "ordinal").join(answers.select("question_id").distinct(), "question_id", "left_semi")
+    fresh = submission_rows(asked, answers)
+    return submission.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+
+
+def evaluation_sink(metrics: DataFrame, folder: str) -> None:
+    """Evaluation rows as CSV with a header, and as JSON lines."""
+    metrics.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    metrics.write.mode("overwrite").json(f"{folder}/json")
+
+
 def submission_rows(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """``(question_id, ordinal)`` with ``(question_id, answer, result_value, pages, note)`` as rows in question order: id, answer, error, evidence.
 

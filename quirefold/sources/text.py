@@ -14,10 +14,9 @@ ENCODINGS = ("utf-8-sig", "cp949", "euc-kr", "latin-1")
 
 
 def decode_bytes(raw: bytes) -> str:
-    """Text of a file: UTF-16 by its mark, else the first encoding that fits."""
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16")
-    for name in ENCODINGS:
+    """Text of a file: UTF-16 if its mark says so, else (or where that fails) the first encoding that fits."""
+    marked = ("utf-16",) if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else ()
+    for name in (*marked, *ENCODINGS):
         try:
             return raw.decode(name)
         except UnicodeDecodeError:
@@ -29,9 +28,11 @@ def unescaped(text: Column) -> Column:
     """Serialised exports hold ``\\n`` as two characters; they become line ends only where they dominate.  Line ends are levelled."""
     count = lambda part: (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
     escaped, real = count("\\n"), count("\n")
-    marked = F.contains(text, F.lit("page-start-marker-"))
+    marked = F.contains(F.lower(text), F.lit("page-start-marker-"))
     dominate = (marked & (real == 0) & (escaped >= 2)) | ((escaped >= 10) & (escaped > F.greatest(4 * real, F.lit(20))))
-    plain = F.replace(F.replace(F.replace(text, F.lit("\\r\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+    plain = text
+    for code, mark in (("\\r\\n", "\n"), ("\\n", "\n"), ("\\r", "\n"), ('\\"', '"')):
+        plain = F.replace(plain, F.lit(code), F.lit(mark))
     levelled = F.when(dominate, plain).otherwise(text)
     return F.replace(F.replace(levelled, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
@@ -74,7 +75,7 @@ def virtual_pages(text: str, target: int = VIRTUAL_PAGE) -> list[str]:
 
 def split_pages(documents: DataFrame, target: int = VIRTUAL_PAGE) -> DataFrame:
     """``(document_id, text)`` as ``(document_id, page_number, text)``: by page markers (the first of a number counts), else virtual pages."""
-    mark = r"<!--\s*page-start-marker-(\d+)\s*-->"
+    mark = r"(?i)<!--\s*page-start-marker-(\d+)\s*-->"
     clean = documents.select("document_id", unescaped(F.coalesce("text", F.lit(""))).alias("text"))
     numbers = F.transform(F.regexp_extract_all("text", F.lit(mark), 1), lambda n: n.cast("int"))
     bodies = F.transform(F.slice(F.split("text", mark), 2, 1 << 30), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
@@ -113,6 +114,26 @@ def questions_from_text(lines: list[str]) -> list[tuple[str, str]]:
     return _unique(out)
 
 
+def question_categories(data: list | dict) -> dict[str, str]:
+    """Category by question id, of those that state one."""
+    items = data if isinstance(data, list) else data.get("questions", [])
+    return {i: q["category"] for (i, _), q in zip(questions_from_json(data), items, strict=True) if q.get("category")}
+
+
+def parsed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages that were parsed before: JSON documents, each an array of pages or an object with ``pages``, or Parquet."""
+    page = "array<struct<document_id:string,page_number:int,text:string>>"
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path).select("document_id", F.col("page_number").cast("int").alias("page_number"), "text")
+    whole = spark.read.text(path, wholetext=True).select(F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.get_json_object("value", "$.pages")).alias("json"))
+    return whole.select(F.explode(F.from_json("json", page)).alias("p")).select("p.*")
+
+
+def unresolved_pages(quality: DataFrame) -> DataFrame:
+    """Pages whose text is missing, or was marked unresolved."""
+    return quality.where(F.col("status").isin("no_text", "unresolved"))
+
+
 def questions_from_json(data: list | dict) -> list[tuple[str, str]]:
     items = data if isinstance(data, list) else data.get("questions", [])
     return _unique([(str(q.get("id") or q.get("question_id") or f"q{k:02d}"), q.get("question") or q.get("text") or "") for k, q in enumerate(items, 1)])

@@ -192,6 +192,68 @@ def test_exhaustive_map_and_repair(compiled):
     assert mapper.fallback_answers(mapper.evidence_rows(whole), lookup=True).where("question_id = 'q1'").first()["answer"].endswith(".")
 
 
+class Counting(mapper.LexicalProvider):
+    """Takes batches, and writes a file for each call."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def _called(self):
+        import uuid
+
+        open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+
+    def read_many(self, question, records):
+        self._called()
+        return {r["record_id"]: self.read(question, r) for r in records}
+
+
+def test_calls_are_batched_and_only_failed_pairs_come_again(spark, tmp_path):
+    import os
+    from functools import partial
+
+    records = spark.createDataFrame([("d", f"r{k}", k, f"t{k}", f"[Page {k}]\nThe quiet harbour froze in winter {k}.") for k in (1, 2)], "document_id string, record_id string, ordinal int, title string, text string").coalesce(1)
+    plans = [questions.Plan("q1", "Which quiet harbour froze?"), questions.Plan("q2", "Which lonely desert bloomed?")]
+    assert mapper.map_records(records, plans[:1], partial(Counting, str(tmp_path))).where("status = 'evidence_found'").count() == 2 and len(os.listdir(tmp_path)) == 1
+    results = mapper.map_records(records, plans).withColumn("status", F.when(F.expr("question_id = 'q1' AND record_id = 'r2'"), "parse_failed").otherwise(F.col("status"))).cache()
+    results.count()
+    again = mapper.map_records(records.withColumn("asked", F.when(F.col("record_id") == "r2", F.array(F.lit("q1"))).otherwise(F.array().cast("array<string>"))), plans)
+    assert [(r["question_id"], r["record_id"]) for r in again.collect()] == [("q1", "r2")]
+    whole = mapper.repaired(records, results, plans, mapper.LexicalProvider)
+    assert whole.count() == 4 and {r["status"] for r in whole.where("question_id = 'q1'").collect()} == {"evidence_found"}
+    packet = {r["question_id"]: r for r in mapper.evidence_packet(whole).collect()}
+    assert packet["q1"]["n_found"] == 2 and not packet["q1"]["needs_repair"] and packet["q2"]["needs_repair"]
+
+
+def test_overlooked_records_and_selection(spark):
+    texts = ["the usual prose of a long book"] * 9
+    texts[4] = "the usual prose on glacier crevasses"
+    records = spark.createDataFrame([("d", f"r{k}", k, f"t{k}", x) for k, x in enumerate(texts, 1)], "document_id string, record_id string, ordinal int, title string, text string")
+    plans = [questions.Plan("q", "Where are glacier crevasses in the usual prose?")]
+    results = mapper.map_records(records, plans).withColumn("status", F.lit("no_evidence"))
+    assert [r["record_id"] for r in mapper.overlooked(records, results, plans).collect()] == ["r5"]
+    picked = mapper.lexical_selection(records, plans).orderBy("place").collect()
+    assert len(picked) == 8 and {min(2, 3 * (r["ordinal"] - 1) // 9) for r in picked} == {0, 1, 2} and picked[0]["record_id"] == "r5"
+
+
+def test_phrases_are_whole_words(spark):
+    from quirefold.operators import evidence as ev
+
+    df = spark.createDataFrame([("other things",), ("the c++ code",), ("a.b",), ("axb",), ("Snow is not discussed here. Ice is.",)], "t string")
+    has = lambda phrase, test=ev.has_phrase: [r[0] for r in df.select(test(df["t"], phrase)).collect()]
+    assert has("the") == [False, True, False, False, False] and has("C++") == [False, True, False, False, False] and has("a.b") == [False, False, True, False, False]
+    assert has("snow") == [False] * 4 + [True] and has("snow", ev.treats_phrase) == [False] * 5 and has("ice", ev.treats_phrase) == [False] * 4 + [True]
+
+
+def test_written_numbers():
+    from quirefold.functions.numbers import written
+    from quirefold.plans import run
+
+    assert [written(v) for v in (1234567.0, 15_000_000.0, 0.0, -3.5, 12.38, 1e15)] == ["1234567", "15000000", "0", "-3.5", "12.38", "1000000000000000"]
+    row = {"rk": 1, "title": "A", "grp": "", "value": 1234567.0, "page": 3}
+    assert run.sentence_of([row], questions.Plan("q", "?", "extremum", direction="max")) == ("A (1234567).", "1234567", [3])
+
+
 def test_mapped_numbers_fill_gaps(spark):
     facts = spark.createDataFrame([("q", "d", "r1", 1, 5.0, "m")], "question_id string, document_id string, record_id string, ordinal int, value double, unit string")
     evidence = spark.createDataFrame([("q", "d", "r1", 1, "99", "m"), ("q", "d", "r2", 2, "7", "m"), ("q", "d", "r3", 3, "800", "ft"), ("q", "d", "r4", 4, "6", "m")], "question_id string, document_id string, record_id string, ordinal int, value string, unit string")
@@ -209,6 +271,13 @@ def test_page_sources(spark, tmp_path):
     for name, raw in (("a.txt", "é".encode()), ("b.txt", "한국".encode("cp949")), ("c.txt", "hi".encode("utf-16"))):
         (tmp_path / name).write_bytes(raw)
     assert sorted(r["text"] for r in source.read_text_documents(spark, f"file://{tmp_path}").collect()) == ["hi", "é", "한국"]
+    assert source.decode_bytes(b"\xff\xfe\x00") == "ÿþ\x00"  # not UTF-16 after all
+    odd = source.split_pages(spark.createDataFrame([("u", "x <!-- PAGE-START-MARKER-3 -->\nthree"), ("p", 'C:\\temp \\"said\\"\\n' * 25)], "document_id string, text string"))
+    got = {(r["document_id"], r["page_number"]): r["text"] for r in odd.collect()}
+    assert got["u", 3] == "three" and 'C:\\temp "said"\n' in got["p", 1]
+    (tmp_path / "pages.json").write_text('{"pages": [{"document_id": "j", "page_number": 2, "text": "t"}]}')
+    assert [tuple(r) for r in source.parsed_pages(spark, f"file://{tmp_path}/pages.json").collect()] == [("j", 2, "t")]
+    (tmp_path / "pages.json").unlink()
     (tmp_path / "d.md").write_text("no")
     with pytest.raises(Exception, match="no text file"):
         source.read_text_documents(spark, f"file://{tmp_path}").collect()
@@ -217,6 +286,7 @@ def test_page_sources(spark, tmp_path):
 def test_question_sources():
     assert source.questions_from_text(["q01: x", "", "q02\ty", "plain"]) == [("q01", "x"), ("q02", "y"), ("q04", "plain")]
     assert source.questions_from_json({"questions": [{"id": "a", "text": "t"}]}) == [("a", "t")]
+    assert source.question_categories([{"id": "a", "text": "t", "category": "c"}, {"text": "u"}]) == {"a": "c"}
     with pytest.raises(ValueError, match="repeat"):
         source.questions_from_text(["q01: x", "q01: y"])
 
@@ -231,6 +301,9 @@ def test_store_and_submission(spark, tmp_path):
     rows = store.submission_rows(asked, given).orderBy("ordinal").collect()
     assert [(r["id"], r["answer"], r["error"]) for r in rows] == [("q1", "yes", None), ("q2", "42", None), ("q3", "", "Pending")]
     assert rows[0]["evidence"] == "note Source pages/segments: 3, 4"
+    later = store.upserted(store.submission_rows(asked, given), spark.createDataFrame([("q3", "now", None, [7], None)], "question_id string, answer string, result_value string, pages array<int>, note string"))
+    assert [(r["id"], r["answer"], r["error"]) for r in later.orderBy("ordinal").collect()] == [("q1", "yes", None), ("q2", "42", None), ("q3", "now", None)]
+    assert kept.load_of("t", ["b"]).count() == 1
     assert store.submission_json(store.submission_rows(asked, given), "t").first()["json"].startswith('{"answers":[{"id":"q1","answer":"yes"}')
 
 

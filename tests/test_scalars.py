@@ -57,3 +57,12 @@ def test_json_span(spark):
 def test_terciles_and_confidence(spark):
     assert evaluate(spark, [1, 3, 4, 9, 20], sc.tercile(F.col("v"), F.lit(9)), "int") == [0, 0, 1, 2, 2]
     assert evaluate(spark, [None, -1.0, 0.3, 7.0], sc.bounded_confidence(F.col("v")), "double") == [0.5, 0.0, 0.3, 1.0]
+
+
+def test_extracted_values_and_canonical_fields(spark):
+    rows = [("15 million visitors", "number", "15", "", ""), ("built in 475 BC", "date", None, "", ""), ("about 4102 m deep", "number", None, "m", "m"), ("12 km", "number", None, "km", "m"), ("15 January 2023", "date", None, "", ""), ("no figure", "number", "7", "", ""), ("plain", "text", None, "", "")]
+    df = spark.createDataFrame(rows, "raw string, kind string, provided string, unit string, target string")
+    got = [r[0] for r in df.select(sc.extracted_value(*(F.col(c) for c in df.columns))).collect()]
+    assert got == ["15000000", "475 BC", "4102", "12000", "2023-01-15", "7", "plain"]
+    names = spark.createDataFrame([("Length & Width (m)",), ("  Total  area ",)], "n string")
+    assert [r[0] for r in names.select(sc.canonical_field("n", {"total_area": "area"})).collect()] == ["length_and_width_m", "area"]

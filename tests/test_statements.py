@@ -1,7 +1,10 @@
+from dataclasses import dataclass
+
 import pytest
 
 from quirefold.operators import enrichment as en
 from quirefold.operators import statements as st
+from quirefold.plans import executor, questions
 
 TEXTS = (
     ("r1", 1, "North Park", "Peru", "[Page 1]\nNorth Park was nominated for the Green List. It straddles the border between Peru and Chile.\n[Page 2]\nThe team completed the first survey in 1994. The old oak is estimated at 1,200 years old."),
@@ -53,7 +56,7 @@ def test_relations_need_every_part(sentences):
 def test_needles(sentences):
     age = st.needle(sentences, "age", "old oak").first()
     assert age["age"] == "1,200" and age["page"] == 2
-    start = st.needle(sentences, "starting", "west park").first()
+    start = st.needle(sentences, "origin", "west park").first()
     assert (start["origin"], start["year"]) == ("a farm", "1901") and st.needle(sentences, "age", "elm").count() == 0
 
 
@@ -61,6 +64,59 @@ def test_claims_and_comparisons(sentences):
     claimed = st.claims(sentences, "deepest|largest")
     assert [(r["record_id"], r["scope"]) for r in claimed.collect()] == [("r2", "group")]
     assert [(r["claim_id"], r["peer_id"]) for r in st.explicit_comparisons(sentences, claimed).collect()] == [("r2", "r3")]
+    said = {
+        "a": "Lake A is the deepest lake in the world.", "b": "Norway's deepest lake is here.", "c": "It is not the deepest of all.", "d": "It may be the deepest of all.", "e": "One of the deepest lakes of its country.",
+        "f": "It is the deepest part of the bay.", "g": "It is the deepest.", "h": "It is the deepest lake in Chile.",
+    }
+    rows = sentences.sparkSession.createDataFrame([("d", k, i, k, "Chile" if k == "h" else "Peru", 1, 0, s) for i, (k, s) in enumerate(said.items())], "document_id string, record_id string, ordinal int, title string, grp string, page int, place int, sentence string")
+    assert {r["record_id"]: r["scope"] for r in st.claims(rows, "deepest").collect()} == {"a": "universal", "b": "group", "g": "unknown", "h": "group"}
+
+
+@dataclass
+class Stub:
+    """What executors ask of a registry."""
+
+    records: object
+    facts: object
+
+
+@pytest.fixture(scope="module")
+def parks(spark):
+    texts = {
+        1: ("North Park", "Peru", "North Park is the largest park in the world. It was inscribed on the list. The \"first winter\" was in 1994."),
+        2: ("South Park", "Peru", "South Park is the largest park in its country. It is listed as nominated. The first winter was in 1990."),
+        3: ("West Park", "Chile", "West Park is the largest park of Chile. It straddles the border. Its first winter fell in 2001. West Park opened as a farm in 1901."),
+        4: ("East Park", "Chile", "East Park is small compared with South Park. It is shared by two nations and twinned with West Park. The oak is thought to be 900 years old."),
+    }
+    records = spark.createDataFrame([("d", f"r{k}", k, t, g, k, k, f"[Page {k}]\n{x}") for k, (t, g, x) in texts.items()], "document_id string, record_id string, ordinal int, title string, grp string, page_start int, page_end int, text string")
+    values = {1: (500.0, 1990.0), 2: (300.0, 1980.0), 3: (900.0, 1970.0), 4: (100.0, 1999.0)}
+    facts = [("d", f"r{k}", k, texts[k][0], texts[k][1], f, f, v, str(v), "", "", k, "") for k, pair in values.items() for f, v in zip(("park_area", "year_founded"), pair, strict=True)]
+    return Stub(records, spark.createDataFrame(facts, "document_id string, record_id string, ordinal int, title string, grp string, field string, label string, value double, raw_value string, unit string, subject string, page int, quote string"))
+
+
+def test_executors_of_statements(parks):
+    ask = lambda run, **kw: run(questions.Plan("q", "?", **kw), parks)
+    refuted = ask(executor.claim_conflict, shape="claim_conflict", field="park_area", direction="max").collect()
+    assert {(r["title"], r["rk"]) for r in refuted} == {("North Park", 1), ("South Park", 1), ("South Park", 2)}
+    assert all("West Park" in r["quote"] for r in refuted if r["title"] == "North Park") and all("North Park" in r["quote"] for r in refuted if (r["title"], r["rk"]) == ("South Park", 1))
+    assert {r["title"] for r in ask(executor.claim_conflict, shape="claim_conflict", direction="max").where("rk = 1").collect()} == {"North Park", "South Park"}  # bound by its words to the record's own field
+    dated = ask(executor.dated_comparison, shape="dated_event", phrase="first winter").orderBy("rk").collect()
+    assert [(r["title"], r["value"]) for r in dated] == [("North Park", 4.0), ("South Park", 10.0)]
+    assert ask(executor.dated_comparison, shape="dated_event") is None
+    assert [(r["rk"], r["title"]) for r in ask(executor.cross_border, shape="relation").orderBy("rk").collect()] == [(1, "West Park"), (2, "East Park"), (3, "East Park")]
+    assert ask(executor.needle, shape="needle", kind="origin", phrase="West Park").first()["value"] == 1901.0
+    assert ask(executor.needle, shape="needle", kind="age", phrase="oak").first()["value"] == 900.0
+    held = ask(executor.status_extremum, shape="extremum", field="park_area", direction="max", statuses=("inscribed", "nominated")).orderBy("rk").collect()
+    assert [r["title"] for r in held] == ["North Park", "South Park"]
+
+
+def test_questions_reach_their_executors():
+    catalog = questions.Catalog(("park_area", "year_founded"), ("Peru", "Chile"), "park", ("inscribed",))
+    plan = lambda q: questions.compile_question("q", q, catalog)
+    assert (plan('Which park\'s "first winter" lies closest to the year it was founded?').shape, plan('Which park\'s "first winter" lies closest to the year it was founded?').phrase) == ("dated_event", "first winter")
+    assert plan("Which parks straddle a border, are shared between nations, or are twinned?").shape == "relation"
+    assert (plan("What did West Park begin as?").kind, plan("How old is the oak of East Park?").phrase) == ("origin", "East Park")
+    assert plan("Which inscribed park has the largest area?").statuses == ("inscribed",)
 
 
 def test_topics(spark, records):
