@@ -120,6 +120,12 @@ def field_id(label: Column | str) -> Column:
     return let(F.substring(slug, 1, 80), lambda s: F.when(s == "", "number").otherwise(s))
 
 
+def written_number(value: Column) -> Column:
+    """A number as an answer states it: whole ones in full, others with two decimals at most."""
+    whole = F.round(value, 0)
+    return F.when(F.abs(value - whole) < 1e-9 * F.greatest(F.lit(1.0), F.abs(value)), whole.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value), "0+$", ""), r"\.$", ""))
+
+
 def extracted_value(raw: Column, kind: Column, provided: Column, unit: Column, target: Column) -> Column:
     """A value read from text as text: an era wins; dates and years become ISO; a number (the text's own, or the first in it, with its scale word) is converted to the target unit; else what was provided, else the text.
 

@@ -141,10 +141,10 @@ def date_difference_closest(t):
     return rel.closest_dates(events, years, "record_id").select("record_id", long("diff"), "rk", long("margin"))
 
 
-@query("SELECT (SELECT min(doc_id) FROM documents WHERE contains(lower(text), 'password')) AS first_password, (SELECT min(doc_id) FROM documents WHERE contains(lower(text), ' un ')) AS first_article, (SELECT min(doc_id) FROM documents WHERE lang = 'de' AND contains(text, 'ß')) AS first_sharp WHERE first_password IS NOT NULL AND first_article IS NOT NULL AND first_sharp IS NOT NULL")
+@query("SELECT (SELECT min(doc_id) FROM documents WHERE contains(text, ' le ')) AS first_french, (SELECT min(doc_id) FROM documents WHERE contains(lower(text), ' das ')) AS first_article, (SELECT min(doc_id) FROM documents WHERE lang = 'de' AND contains(text, 'ß')) AS first_sharp WHERE first_french IS NOT NULL AND first_article IS NOT NULL AND first_sharp IS NOT NULL")
 def first_match_relations(t):
     low = F.lower("text")
-    parts = {"first_password": low.contains("password"), "first_article": low.contains(" un "), "first_sharp": (F.col("lang") == "de") & F.col("text").contains("ß")}
+    parts = {"first_french": F.col("text").contains(" le "), "first_article": low.contains(" das "), "first_sharp": (F.col("lang") == "de") & F.col("text").contains("ß")}
     return rel.first_of_each(t("documents"), parts, ["doc_id"], "doc_id")
 
 
