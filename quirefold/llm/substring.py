@@ -7,7 +7,8 @@ runs with one position for the run instead of one for each window.  And each tas
 before it sends: a window goes out once for half a million windows or so, however often it occurs
 there, so a passage found in a third of all documents floods no bucket.  A bucket holds about
 ``BUCKET_WINDOWS`` windows whatever the corpus size; the number of buckets grows with it, and
-so do the hash bits: 56 bits inside a bucket that is itself chosen by hash.
+so do the hash bits: 56 bits inside a bucket that is itself chosen by hash.  Buckets are counted first: one that a frequent
+phrase makes several times as large is split by the windows' own hashes, which brings equal windows together as well.
 
 Defined results: a null or blank text has no words and keeps nothing; a row is known by its id
 and its text, so repeated rows remove each other's windows, and rows that share an id but
@@ -32,6 +33,8 @@ from .shared import WORD, buckets_for, give_back, slices, text_bytes_total
 
 #: Windows combined before they are sent, windows in a bucket, buckets at least, and the words whose least hash picks the bucket.
 COMBINE_WINDOWS, BUCKET_WINDOWS, LEAST_BUCKETS, ANCHOR = 1 << 19, 1 << 21, 1024, 5
+#: Times the usual size from which a bucket is split.
+SPLIT_FROM = 2
 _BLOCK = "bucket int, payload binary"
 _SPAN = "row_id long, row_hash long, first int, last int"
 
@@ -74,7 +77,18 @@ def _eight(raw: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _blocks(parts: list[tuple], ids: np.ndarray, hashes: np.ndarray, buckets: int):
+def _bucket_of(key: np.ndarray, anchor: np.ndarray, buckets: int, split: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Bucket by anchor; of split buckets, one of ``parts`` that begin at ``first``, by the window's hash."""
+    bucket = (wh.mix(anchor) % np.uint64(buckets)).astype(np.int64)
+    if split:
+        for b in np.intersect1d(bucket, np.fromiter(split, np.int64)):
+            first, parts = split[int(b)]
+            own = np.flatnonzero(bucket == b)
+            bucket[own] = first + (wh.mix(key[own] ^ np.uint64(wh.SECOND_BASE)) % np.uint64(parts)).astype(np.int64)
+    return bucket
+
+
+def _blocks(parts: list[tuple], ids: np.ndarray, hashes: np.ndarray, buckets: int, split: dict[int, tuple[int, int]]):
     """One block for each bucket: the windows that the combined pieces hold, each once, and the spans they repeat themselves."""
     key, anchor, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key, kind="stable")
@@ -84,7 +98,7 @@ def _blocks(parts: list[tuple], ids: np.ndarray, hashes: np.ndarray, buckets: in
     again[order[1:]] |= same
     again[order[:-1]] |= same
     later[order[1:]] = same
-    bucket = (wh.mix(anchor) % np.uint64(buckets)).astype(np.int64)
+    bucket = _bucket_of(key, anchor, buckets, split)
     known_doc, known_first, known_last = _spans(doc[again], pos[again])
     known_bucket = (wh.mix(ids[known_doc].view(np.uint64) ^ hashes[known_doc].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     send = np.flatnonzero(~later)
@@ -111,7 +125,27 @@ def _blocks(parts: list[tuple], ids: np.ndarray, hashes: np.ndarray, buckets: in
 _KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)
 
 
-def _hash_windows(width: int, buckets: int):
+def _count_buckets(width: int, buckets: int):
+    """Windows by bucket, of each task's texts."""
+    anchor_width = min(ANCHOR, width)
+
+    def run(batches):
+        byte_powers, window_powers, total = wh.Powers(wh.BYTE_BASE), wh.Powers(wh.WINDOW_BASE), np.zeros(buckets, np.int64)
+        for batch in slices(batches):
+            data, at = wh.text_bytes(batch.column("text"))
+            for *_, offsets, hashed, _, _ in wh.hashed_pieces(data, at, width, byte_powers):
+                starts, _ = wh.window_starts(offsets, width)
+                if len(starts):
+                    least = wh.sliding_min(wh.window_hashes(hashed, anchor_width, window_powers), width - anchor_width + 1)[starts]
+                    total += np.bincount((wh.mix(least) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+        give_back()
+
+    return run
+
+
+def _hash_windows(width: int, buckets: int, split: dict[int, tuple[int, int]]):
     anchor_width = min(ANCHOR, width)
 
     def run(batches):
@@ -119,7 +153,7 @@ def _hash_windows(width: int, buckets: int):
         parts, ids, hashes, docs, held = [], [], [], 0, 0
 
         def flush():
-            found = list(_blocks(parts, np.concatenate(ids), np.concatenate(hashes), buckets)) if held else []
+            found = list(_blocks(parts, np.concatenate(ids), np.concatenate(hashes), buckets, split)) if held else []
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
 
         for batch in slices(batches):
@@ -177,7 +211,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
     """Spans ``(row_id, row_hash, first, last)`` of windows, by first word, that also start anywhere else in the corpus."""
     buckets = buckets_for(text_bytes_total(docs, text_col) // 6, BUCKET_WINDOWS, LEAST_BUCKETS)
-    blocks = _keyed(docs, id_col, text_col).mapInArrow(_hash_windows(width, buckets), _BLOCK)
+    # Only buckets beyond SPLIT_FROM times the usual size come to the driver: at most one in so many.
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_buckets(width, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    split, first = {}, buckets
+    for row in counted.where(F.col("n") > SPLIT_FROM * BUCKET_WINDOWS).orderBy("bucket").collect():
+        parts = -(-row["n"] // BUCKET_WINDOWS)
+        split[row["bucket"]] = (first, parts)
+        first += parts
+    blocks = _keyed(docs, id_col, text_col).mapInArrow(_hash_windows(width, buckets, split), _BLOCK)
     return blocks.groupBy("bucket").applyInArrow(_count_windows, _SPAN)
 
 

@@ -45,6 +45,15 @@ def test_substring_dedup(spark, rows, odd):
     assert substring.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_buckets_of_a_frequent_phrase_are_split(spark, monkeypatch):
+    """One phrase in all documents, with other words around: its bucket is split, and equal windows still meet."""
+    monkeypatch.setattr(substring, "BUCKET_WINDOWS", 40)
+    monkeypatch.setattr(substring, "LEAST_BUCKETS", 3)
+    texts = [" ".join([*(f"a{k % 5}b{j}" for j in range(8)), "the phrase that all texts hold", *(f"c{k % 7}d{j}" for j in range(8))]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert collected(substring.remove_repeats(docs, width=9), "doc_id", "n_removed", "kept_text") == sorted([(i, n, kept) for i, (_, n, kept) in enumerate(brute.substring_dedup(texts, 9))], key=str)
+
+
 def test_windows_inside_one_document(spark):
     docs = spark.createDataFrame([(1, "a b c a b c a b c d"), (2, "x y")], "doc_id long, text string")
     assert collected(substring.remove_repeats(docs, width=3), "n_removed", "kept_text") == sorted([(n, kept) for _, n, kept in brute.substring_dedup(["a b c a b c a b c d", "x y"], 3)], key=str)
