@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import slices, worker_cache
+from .shared import give_back, slices, worker_cache
 
-#: Ids in a segment; words up to this length are remembered, this many at most in a task.
-SEGMENT_IDS, MEMO_LENGTH, MEMO_SIZE = 1 << 18, 48, 1 << 19
+#: Ids in a segment; words up to this length are remembered from their second time on, this many at most by each of a worker's two memos (some 240 bytes each), and marks of words that came once.
+SEGMENT_IDS, MEMO_LENGTH, MEMO_SIZE, MARKS = 1 << 18, 48, 1 << 18, 1 << 21
 SELECT_EVERY = 256
 SCHEMA = "part int, seg int, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
 
@@ -142,7 +142,7 @@ class Encoder:
 
 class _Words(dict):
     def __init__(self, encoder: Encoder, before: str) -> None:
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.once = encoder, before, bytearray(MARKS)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
@@ -155,8 +155,13 @@ class _Words(dict):
         else:
             ids = self[head[0]] + self.encoder.bare[word[head.end() :]]
         if len(word) <= MEMO_LENGTH:
+            mark = hash(word) & (MARKS - 1)
+            if not self.once[mark]:
+                self.once[mark] = 1
+                return ids
             if len(self) >= MEMO_SIZE:
                 self.clear()
+                self.once = bytearray(MARKS)
             self[word] = ids
         return ids
 
@@ -185,6 +190,7 @@ def _segments(tokenizer: str, end_id: int, segment_ids: int):
                 ids.append(own)
         if held:
             yield flush()
+        give_back()
 
     return run
 
@@ -192,13 +198,21 @@ def _segments(tokenizer: str, end_id: int, segment_ids: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode all texts and write them to ``folder`` in ascending id order."""
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(_segments(tokenizer, end_id, segment_ids), SCHEMA).write.parquet(folder)
+    # Batches of a slice each while this is written: neither side holds more texts than it works on.
+    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    conf.set(rows, "1024")
+    try:
+        ordered.mapInArrow(_segments(tokenizer, end_id, segment_ids), SCHEMA).write.parquet(folder)
+    finally:
+        conf.set(rows, before)
 
 
 def _documents(batches):
     for batch in slices(batches, 16):
         for row in batch.to_pylist():
-            ends = EliasFano(row["ends"]).values()
+            coded = EliasFano(row["ends"])
+            ends = np.array([coded.select(k) for k in range(coded.n)], np.int64)
             ids = np.frombuffer(row["ids"], f"<u{row['width']}")
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             wide = ids.astype("<u4")
