@@ -41,7 +41,9 @@ def load(model: str):
 
 
 def stable(encoder) -> bool:
-    """Whether no piece holds a space mark after another character."""
+    """Whether texts get a space mark in front, and no piece holds one after another character."""
+    if not encoder.encode("a", out_type=str)[0].startswith(_MARK):
+        return False
     return not any(re.search(f"[^{_MARK}]{_MARK}", encoder.id_to_piece(i)) for i in range(encoder.get_piece_size()))
 
 
