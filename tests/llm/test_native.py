@@ -107,32 +107,16 @@ def test_short_and_unspaced_lines_are_linked(spark):
 
 
 def test_recall_by_line_length(spark):
-    """Random lines without blanks with scattered edits near the threshold: every short one is found, and nearly every long one."""
+    """Random lines with scattered edits near the threshold, with and without blanks: every short one is found, and nearly every long one."""
     rng = random.Random(21)
-    for n, least in ((12, 1), (24, 1), (40, 1), (80, 0.97), (240, 0.97)):
-        docs = []
-        for k in range(100):
-            a = "".join(rng.choice("etaoinshrdlucmfwygpb") for _ in range(n))
-            b = a
-            for at in rng.sample(range(n), n):
-                c = b[:at] + "X" + b[at + 1 :]
-                s, t = brute.line_shingles(a), brute.line_shingles(c)
-                if 100 * len(s & t) < 75 * len(s | t):
-                    break
-                b = c
-            docs += [(2 * k, a), (2 * k + 1, b)]
-        got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-        want = line_truth(docs)
-        assert sum(got[i] == t for i, t in want.items()) >= least * len(want), n
-
-
-def test_recall_of_lines_of_words(spark):
-    """The same for lines of words, short and long ones."""
-    rng = random.Random(22)
-    for letters in (3, 6, 13):
-        docs = []
-        for k in range(100):
-            a = " ".join("".join(rng.choice("etaoinshrdlucmfwygpb") for _ in range(rng.randint(letters - 2, letters + 2))) for _ in range(200 // letters))
+    letters = "etaoinshrdlucmfwygpb"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = [(lambda n=n: word(n), 1 if n <= 40 else 0.95) for n in (12, 24, 40, 80, 240)]
+    kinds += [(lambda n=n: " ".join(word(rng.randint(n - 2, n + 2)) for _ in range(200 // n)), 0.95) for n in (3, 6, 13)]
+    docs, least = [], []
+    for make, share in kinds:
+        for _ in range(100):
+            a = make()
             b = a
             for at in rng.sample(range(len(a)), len(a)):
                 c = b[:at] + "X" + b[at + 1 :]
@@ -140,10 +124,13 @@ def test_recall_of_lines_of_words(spark):
                 if 100 * len(s & t) < 75 * len(s | t):
                     break
                 b = c
-            docs += [(2 * k, a), (2 * k + 1, b)]
-        got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-        want = line_truth(docs)
-        assert sum(got[i] == t for i, t in want.items()) >= 0.95 * len(want), letters
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+        least.append(share)
+    got = {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {i: t for k in range(0, len(docs), 200) for i, t in line_truth(docs[k : k + 200]).items()}
+    for k, share in enumerate(least):
+        own = range(200 * k, 200 * (k + 1))
+        assert sum(got[i] == want[i] for i in own) >= share * 200, k
 
 
 def test_long_bands_are_compared_in_full(spark, monkeypatch):
@@ -197,6 +184,7 @@ def test_leaks(spark):
     got = decontaminate.find_leaks(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, key string"), spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, key string"))
     pairs = {(r["doc_id"], r["item_id"]) for r in got.collect()}
     assert pairs == {(k, k) for k in range(6)} | {(10, 0), (11, 1), (None, 2), (12, 3)}
+    assert got.where("doc_id = 12").count() == 1
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert decontaminate.find_leaks(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), empty.withColumnRenamed("doc_id", "item_id")).count() == 0
@@ -210,6 +198,58 @@ def test_quotes_of_part_of_an_item_are_leaks(spark):
     assert collected(got, "doc_id") == sorted([(k,) for k in (11, 13, 15, 18, 21, 100)], key=str)
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    """Items of 5 to 10 words with as many substitutions as the similarity admits, whole tiny items, and Chinese."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(10**6))
+    items, docs, want = [], [], set()
+    for n in range(5, 11):
+        text = [word() for _ in range(n)]
+        items.append((n, " ".join(text)))
+        for at in range(n):
+            changed = list(text)
+            for k in {at, (at + n // 2) % n} if n >= 8 else {at}:
+                changed[k] = word()
+            docs.append((100 * n + at, " ".join([word() for _ in range(20)] + changed + [word() for _ in range(20)])))
+            want.add((100 * n + at, n))
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    items += [(20, chinese), (21, "yes or no"), (22, "yes")]
+    docs += [(1, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(50)) + chinese + "。"), (2, chinese[:30] + "丁" + chinese[31:]), (3, "Yes, or no!"), (4, "we said yes or no to that"), (5, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(90)))]
+    want |= {(1, 20), (2, 20), (3, 21)}
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def aligned_share(item, text):
+    """Brute force: the largest share of an item's words that stand at their places under any shift of the whole item inside the text."""
+    return max((sum(a == b for a, b in zip(item, text[s:], strict=False)) / len(item) for s in range(len(text) - len(item) + 1)), default=0.0)
+
+
+def test_recall_under_substitutions_against_an_aligner(spark):
+    """Every shift of every item is tried by brute force: at least 0.9 of the alignments of 0.75 and more are found, and every row found has one of 0.6 or a verbatim part."""
+    rng = random.Random(8)
+    vocabulary = [w + x for w in WORDS for x in ("", "s", "ed", "ing")]
+    items = [(k, [rng.choice(vocabulary) for _ in range(rng.randint(15, 45))]) for k in range(30)]
+    docs = []
+    for i in range(240):
+        _, words = items[i % 30]
+        own = [rng.choice(vocabulary) + "x" if rng.random() < rng.choice((0, 0.1, 0.2, 0.25, 0.6)) else w for w in words]
+        docs.append((i, [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))] + own + [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]))
+    got = decontaminate.find_leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    shares = {(i, k): aligned_share(item, text) for i, text in docs for k, item in items}
+    near = {p for p, share in shares.items() if share >= 0.75}
+    assert len(found & near) >= 0.9 * len(near) and len(near) > 100
+    assert all(k == i % 30 for i, k in found)
+
+
+def test_repeated_rows_and_clashing_names_in_decontamination(spark):
+    text = " ".join(f"{w}{k}" for k, w in enumerate(WORDS))
+    docs = spark.createDataFrame([(1, text, "a", 1), (1, text, "a", 1), (2, "clean words only", "a", 1)], "doc_id long, text string, key string, place int").selectExpr("*", "1 AS item", "1 AS item_id", "'h' AS text_hash")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(7, text), (8, text)], "item_id long, text string"))
+    assert collected(found.distinct(), "doc_id", "item_id") == [(1, 7), (1, 8)]
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     whole = collected(queries.op8_decontaminate(spark, SF), "doc_id", "item_id", "n_equal", "first_word")
     monkeypatch.setattr(decontaminate, "BLOCK_HASHES", 700)
@@ -252,6 +292,28 @@ def test_pipeline(spark):
     assert collected(whole, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out), key=str)
 
 
+def test_pipeline_passes_columns_of_any_name_and_empty_tables(spark, monkeypatch):
+    stages = dict(corpus_pipeline.STAGES)
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(60)) for _ in range(4)]
+    names = "kept measures fail_bits text_hash mix_size mix_times layout row doc_copy".split()
+    rows = spark.createDataFrame([(k, t, "s", *(f"{n}{k}" for n in names)) for k, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for name in ("quality_rules", "ngram_jaccard", "decontaminate", "mixing"):
+        out = stages[name](spark, rows, SF)
+        assert out.columns == rows.columns and out.dtypes == rows.dtypes
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+        assert stages[name](spark, rows.limit(0), SF).count() == 0
+    assert stages["token_output"](spark, rows.limit(0), SF).count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    """Only the near copy of another document goes, not the other text under its id."""
+    base = [f"{w}{k}" for k, w in enumerate(WORDS * 2)]
+    rows = spark.createDataFrame([(1, " ".join(base), "a"), (2, " ".join([*base, "end"]), "a"), (2, " ".join(f"other{k}" for k in range(30)), "a")], "doc_id long, text string, source string")
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, rows, SF).collect()
+    assert sorted((r["doc_id"], r["text"][:5]) for r in kept) == [(1, "alpha"), (2, "other")]
+
+
 def test_equal_rows_stay_once(spark):
     text = " ".join(f"{w}{k}" for k, w in enumerate(WORDS * 2))
     rows = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, text + " end", "b"), (None, text, "c"), (3, None, "c")], "doc_id long, text string, source string")
