@@ -8,12 +8,12 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontaminate, jaccard, mixing, quality, token_files
 from quirefold.llm.queries import tokenizer_path
-from quirefold.llm.shared import cut, scratch
+from quirefold.llm.shared import cut, likely, scratch, without
 
 
 def rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -21,6 +21,16 @@ def rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *columns)
 
 
+def known(doc_id: Column) -> Column:
+    """An id as a key; the least long stands for null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("key")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """Each document as ``row``, with the id and the hash of the text that name it."""
+    return rows(docs).select("row", known(F.col("row.doc_id")), F.xxhash64("row.text").alias("text_hash"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the full policy rejects."""
     return quality.apply_policy(quality.ledger(rows(docs, "text")), quality.FULL, "kept").where("kept").select("row.*")
@@ -29,20 +39,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least id; equal rows once."""
     links = cut(jaccard.link_documents(docs), "links")
-    removed = cut(links.where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "removed")
-    twice = cut(links.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
-    named = rows(docs, "doc_id").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
-    kept = named.join(removed, ["doc_id", "text_hash"], "left_anti")
+    removed = cut(links.where("doc_id <> component_id").select(known(F.col("doc_id")), "text_hash").distinct(), "removed")
+    twice = cut(links.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(known(F.col("doc_id"))), "twice")
+    kept = without(named(docs), removed, ["key", "text_hash"])
     if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates())
+        kept = without(kept, twice, ["key"]).unionByName(likely(kept, twice, ["key"]).join(twice, "key", "left_semi").dropDuplicates().select("row", "key", "text_hash"))
     return kept.select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    leaks = cut(decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "text_hash").distinct(), "leaks")
-    hashed = rows(docs, "doc_id", "text").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return hashed.join(leaks, (hashed["text_hash"] == leaks["text_hash"]) & hashed["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select("row.*")
+    leaks = cut(decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(known(F.col("doc_id")), "text_hash").distinct(), "leaks")
+    return without(named(docs), leaks, ["key", "text_hash"]).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
