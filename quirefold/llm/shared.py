@@ -88,6 +88,14 @@ def likely(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_residue", residue(*keys)).join(F.broadcast(some), "_residue", "left_semi").drop("_residue")
 
 
+def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys, none of them null, are not in ``gone``.  Only rows that share a residue with one that goes are shuffled."""
+    some = F.broadcast(gone.select(residue(*keys).alias("_residue")).distinct())
+    marked = df.withColumn("_residue", residue(*keys))
+    touched = marked.join(some, "_residue", "left_semi").join(gone, keys, "left_anti")
+    return marked.join(some, "_residue", "left_anti").unionByName(touched).drop("_residue")
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches in slices of so many rows, so that what a worker makes of them stays small; freed memory goes back after each batch.
 
