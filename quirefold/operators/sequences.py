@@ -25,15 +25,32 @@ def islands(df: DataFrame, keys: list[str], at: str, block: int = 1 << 16) -> Da
     return whole.unionByName(merged).withColumn("n", F.col("last") - F.col("first") + 1)
 
 
-def lead_spans(df: DataFrame, key: str, order: list[str], start: str, default: Column) -> DataFrame:
-    """Adds ``span_end``: the next row's start within the key, or ``default`` for the last."""
-    return df.withColumn("span_end", F.coalesce(F.lead(start).over(W.partitionBy(key).orderBy(*order)), default))
+def lead_spans(df: DataFrame, key: str, order: list[str], start: str, default: Column, block: Column | None = None) -> DataFrame:
+    """Adds ``span_end``: the next row's start within the key, or ``default`` for the last.
 
-
-def forward_fill(df: DataFrame, key: str, order: list[str], value: str, into: str) -> DataFrame:
-    """The last value that is not null, up to and including the row."""
-    upto = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(into, F.last(value, ignorenulls=True).over(upto))
+    With a ``block`` that never falls along the order (the day of a time), a key that holds most rows is read block by block, and only the
+    blocks' first starts meet.
+    """
+    if block is None:
+        return df.withColumn("span_end", F.coalesce(F.lead(start).over(W.partitionBy(key).orderBy(*order)), default))
+    cut = df.withColumn("_block", block)
+    firsts = cut.groupBy(key, "_block").agg(F.min_by(start, F.struct(*order)).alias("_first"))
+    after = firsts.select(key, "_block", F.lead("_first").over(W.partitionBy(key).orderBy("_block")).alias("_next"))
+    inside = cut.withColumn("_lead", F.lead(start).over(W.partitionBy(key, "_block").orderBy(*order)))
+    return inside.join(after, [key, "_block"]).withColumn("span_end", F.coalesce("_lead", "_next", default)).select(*df.columns, "span_end")
+
+
+def forward_fill(df: DataFrame, key: str, order: list[str], value: str, into: str, block: Column | None = None) -> DataFrame:
+    """The last value that is not null, up to and including the row; ``block`` as for ``lead_spans``."""
+    filled = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    if block is None:
+        return df.withColumn(into, filled(value, W.partitionBy(key).orderBy(*order)))
+    cut = df.withColumn("_block", block)
+    lasts = cut.groupBy(key, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    carried = lasts.select(key, "_block", before.alias("_before"))
+    inside = cut.withColumn("_own", filled(value, W.partitionBy(key, "_block").orderBy(*order)))
+    return inside.join(carried, [key, "_block"]).withColumn(into, F.coalesce("_own", "_before")).select(*df.columns, into)
 
 
 def pack_numbers(sizes: Column, max_items: int, max_size: int) -> Column:

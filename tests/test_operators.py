@@ -94,3 +94,16 @@ def test_tercile_quotas(spark):
 def test_modal_value_takes_the_least_of_equals(spark):
     df = spark.createDataFrame([("f", "x"), ("f", "y"), ("g", "z")], "field string, label string")
     assert rows(rel.modal_value(df, "field", "label"), "field", "label") == [("f", "x"), ("g", "z")]
+
+
+def test_fills_and_spans_in_blocks(spark):
+    """A key read block by block has the same values as in one window."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), k, rng.choice([None, k])) for k in range(200)]
+    df = spark.createDataFrame(rows, "key string, at int, own int")
+    block = F.floor(F.col("at") / 16)
+    level = lambda d, c: sorted((r["at"], r[c]) for r in d.collect())
+    assert level(seq.forward_fill(df, "key", ["at"], "own", "filled", block), "filled") == level(seq.forward_fill(df, "key", ["at"], "own", "filled"), "filled")
+    assert level(seq.lead_spans(df, "key", ["at"], "at", F.lit(-1), block), "span_end") == level(seq.lead_spans(df, "key", ["at"], "at", F.lit(-1)), "span_end")
