@@ -42,10 +42,16 @@ LEAST_WORDS, AROUND, SIMILAR, BLOCK_HASHES = 5, 8, 0.75, 1 << 20
 UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}])"
 
 
-def _hashed_words(text: Column) -> Column:
+def _with_words(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``_words``: strings between blanks and signs, blank ones among them.  Plain columns step by step, which generated code computes once each."""
+    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    spaced = low.withColumn("_spaced", F.when(F.length("_low") == F.octet_length("_low"), F.col("_low")).otherwise(F.regexp_replace("_low", UNSPACED, " $1 ")))
+    return spaced.withColumn("_words", F.split("_spaced", r"[^\p{L}\p{N}]+")).drop("_low", "_spaced")
+
+
+def _hashed(words: Column) -> Column:
     """A hash for each word, from place 0."""
-    spaced = let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(F.regexp_replace(t, UNSPACED, " $1 ")))
-    return F.transform(F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _masks(n: int) -> list[tuple[int, ...]]:
@@ -71,7 +77,8 @@ def _placements(h: Column, k: int, n: int, seed: tuple[int, ...]) -> Column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each leak: ``doc_id``, ``item_id``, ``text_hash`` (with the id, it names the row), ``n_equal`` of ``n_compared`` words around the best hit, and ``first_word`` of the item in the document."""
-    items = cut(benchmark.select(F.col(item_col).cast("long").alias("item_id"), _hashed_words(F.col(item_text_col)).alias("item")).where(F.size("item") > 0), "items")
+    texts = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    items = cut(_with_words(texts, "text").select("item_id", _hashed(F.col("_words")).alias("item")).where(F.size("item") > 0), "items")
     lengths = sorted(r["n"] for r in items.select(F.least(F.size("item"), F.lit(SPAN)).alias("n")).distinct().collect())  # SPAN values at most
     seeds = [(n, seed) for n in lengths for seed in (SEEDS if n == SPAN else _masks(n))]
     # Items of SPAN words and more take the spaced seeds; the others serve only items of just their length.
@@ -83,7 +90,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     seeded = cut(reduce(DataFrame.unionByName, (seeded_items(k, n, seed) for k, (n, seed) in enumerate(seeds)), none), "seeds")
     blocks = max(1, -(-seeded.count() // BLOCK_HASHES))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    placed = keyed.select("doc_id", "text_hash", F.explode(let(_hashed_words(F.col("text")), lambda h: _keys(h, seeds or [(SPAN, SEEDS[0])]))).alias("x")).select("doc_id", "text_hash", "x.key", "x.place")
+    placed = _with_words(keyed, "text").select("doc_id", "text_hash", F.explode(let(_hashed(F.col("_words")), lambda h: _keys(h, seeds or [(SPAN, SEEDS[0])]))).alias("x")).select("doc_id", "text_hash", "x.key", "x.place")
     hits = None
     for b in range(blocks):
         part = seeded.where(F.pmod("key", F.lit(blocks)) == b)
@@ -92,7 +99,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     hits = cut(hits.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.flatten(F.collect_list("places")).alias("places")), "hits")
     texts = likely(keyed, hits, ["text_hash"])
     checked = hits.join(items, "item_id").join(texts, (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["text_hash"] == hits["text_hash"])).select(hits["doc_id"], hits["text_hash"], "item_id", "shift", "places", "item", "text")
-    return _verified(checked)
+    return _verified(_with_words(checked, "text"))
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ def _verified(candidates: DataFrame) -> DataFrame:
 
         return let(equal, around)
 
-    best = let(_hashed_words(F.col("text")), compare)
+    best = let(_hashed(F.col("_words")), compare)
     scored = candidates.select("doc_id", "text_hash", "item_id", F.col("shift").alias("first_word"), best.alias("best")).where(F.col("best.share") >= SIMILAR)
     top = scored.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("best.share", "best.n_equal", "best.n_compared", (-F.col("first_word")).alias("before"))).alias("top"))
     return top.select("doc_id", "item_id", "text_hash", F.col("top.n_equal").cast("long").alias("n_equal"), F.col("top.n_compared").cast("long").alias("n_compared"), (-F.col("top.before")).cast("long").alias("first_word"))
