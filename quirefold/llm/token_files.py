@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import give_back, slices, worker_cache
 
 #: Ids in a segment; words up to this length are remembered from their second time on, this many at most by each of a worker's two memos (some 240 bytes each), and marks of words that came once.
-SEGMENT_IDS, MEMO_LENGTH, MEMO_SIZE, MARKS = 1 << 18, 48, 1 << 18, 1 << 21
+SEGMENT_IDS, MEMO_LENGTH, MEMO_SIZE, MARKS = 1 << 18, 48, 1 << 19, 1 << 21
 SELECT_EVERY = 256
 SCHEMA = "part int, seg int, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
 
