@@ -150,6 +150,23 @@ def test_long_bands_are_compared_in_full(spark, monkeypatch):
     assert {r["doc_id"] for r in got if r["n_removed"] == 0} == {0, *range(1000, 1080, 2)}
 
 
+def test_bands_are_sets_of_lines_that_stand_once(spark, monkeypatch):
+    """Blocks of few values, and values of many lines spread over buckets: a band for each set of lines, and the links of brute force."""
+    rng = random.Random(41)
+    phrase = " ".join(rng.choice(WORDS) + str(k) for k in range(12))
+    docs = []
+    for i in range(40):
+        own = f"{phrase} " + " ".join(f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(20))
+        docs += [(3 * i, own), (3 * i + 1, own + " end"), (3 * i + 2, f"row {i % 9} of the book {rng.randrange(100)}")]
+    for name, value in (("SEND", 64), ("FREQUENT", 2), ("LEAST_BUCKETS", 5), ("HOT", 6)):
+        monkeypatch.setattr(lines, name, value)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    table = lines._rows(rows, "doc_id", "text").mapInArrow(lines._read_lines, lines._TABLE)
+    bands = [r["lines"] for r in lines._bands(table).collect()]
+    assert bands and len(bands) == len(set(bands)) and all(len(x) >= 16 for x in bands)
+    assert {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(rows).collect()} == line_truth(docs)
+
+
 def test_line_dedup_of_odd_rows(spark):
     """Repeated rows, columns of clashing names, one very long line, and a text of very many lines."""
     rng = random.Random(31)
