@@ -16,6 +16,10 @@ from quirefold.llm.queries import tokenizer_path
 from quirefold.llm.shared import cut, likely, scratch, without
 
 
+#: Words of a token memo: workers live on and keep theirs while the other stages run in them.
+MEMO = 1 << 18
+
+
 def rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Each document as the struct ``row``, and the columns that a stage reads."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *columns)
@@ -61,7 +65,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document, read back from the token files written: id, start, number and checksum of its ids."""
     folder = f"{scratch(spark)}/token-files"
-    token_files.write_token_files(docs, folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    token_files.write_token_files(docs, folder, tokenizer_path("byte_bpe_50k.json"), end_id=2, memo=MEMO)
     return token_files.read_documents(spark, folder)
 
 

@@ -105,7 +105,7 @@ class Encoder:
     white space of another kind (two spaces, blank lines) are cut where that is safe.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO_SIZE) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -115,7 +115,7 @@ class Encoder:
         self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not spec.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.line_end = self.plain("\n")
-        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
+        self.spaced, self.bare = _Words(self, " ", memo), _Words(self, "", memo)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -141,8 +141,8 @@ class Encoder:
 
 
 class _Words(dict):
-    def __init__(self, encoder: Encoder, before: str) -> None:
-        self.encoder, self.before, self.once = encoder, before, bytearray(MARKS)
+    def __init__(self, encoder: Encoder, before: str, most: int) -> None:
+        self.encoder, self.before, self.most, self.once = encoder, before, most, bytearray(MARKS)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
@@ -159,16 +159,16 @@ class _Words(dict):
             if not self.once[mark]:
                 self.once[mark] = 1
                 return ids
-            if len(self) >= MEMO_SIZE:
+            if len(self) >= self.most:
                 self.clear()
                 self.once = bytearray(MARKS)
             self[word] = ids
         return ids
 
 
-def _segments(tokenizer: str, end_id: int, segment_ids: int):
+def _segments(tokenizer: str, end_id: int, segment_ids: int, memo: int):
     def run(batches):
-        encoder = worker_cache(("ids", tokenizer), lambda: Encoder(tokenizer))
+        encoder = worker_cache(("ids", tokenizer, memo), lambda: Encoder(tokenizer, memo))
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         part, seg, doc_ids, ends, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
@@ -195,15 +195,15 @@ def _segments(tokenizer: str, end_id: int, segment_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
-    """Encode all texts and write them to ``folder`` in ascending id order."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS, memo: int = MEMO_SIZE) -> None:
+    """Encode all texts and write them to ``folder`` in ascending id order.  Workers keep memos of ``memo`` words over their tasks: fewer, where other operators follow in them."""
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     # Batches of a slice each while this is written: neither side holds more texts than it works on.
     conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(rows)
     conf.set(rows, "1024")
     try:
-        ordered.mapInArrow(_segments(tokenizer, end_id, segment_ids), SCHEMA).write.parquet(folder)
+        ordered.mapInArrow(_segments(tokenizer, end_id, segment_ids, memo), SCHEMA).write.parquet(folder)
     finally:
         conf.set(rows, before)
 

@@ -87,6 +87,13 @@ def test_encoder_matches_the_library(text):
     assert encoder.cuts and encoder.encode(text) == encoder.plain(text)
 
 
+def test_memos_are_bounded_by_parameter():
+    encoder = token_files.Encoder(queries.tokenizer_path("byte_bpe_50k.json"), memo=8)
+    for text in 2 * [" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))]:
+        assert encoder.encode(text) == encoder.plain(text) and len(encoder.spaced) <= 8 and len(encoder.bare) <= 8
+    assert len(encoder.spaced)
+
+
 def test_elias_fano():
     import numpy as np
 
