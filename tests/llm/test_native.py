@@ -167,6 +167,31 @@ def test_bands_are_sets_of_lines_that_stand_once(spark, monkeypatch):
     assert {r["doc_id"]: r["kept_text"] for r in lines.dedup_lines(rows).collect()} == line_truth(docs)
 
 
+def test_lines_that_differ_much_are_not_compared_in_full(spark, monkeypatch):
+    """In a band across components, all shingles are compared only where the least ones agree; links at the threshold stay."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(6))
+    phrase, texts = " ".join(word() for _ in range(6)), []
+    for _ in range(15):
+        own = [word() for _ in range(30)]
+        near = list(own)
+        for at in rng.sample(range(30), 3):
+            near[at] = word()
+        texts += [" ".join([phrase, *own]), " ".join([phrase, *near])]
+    calls, real = [], np.intersect1d
+    monkeypatch.setattr(lines.np, "intersect1d", lambda *a, **k: calls.append(1) or real(*a, **k))
+    ids = list(range(len(texts)))
+    of = lambda x, kind: pa.array(x, kind)
+    table = pa.table({"line_id": of([*ids, None], pa.int64()), "component": of([*ids, None], pa.int64()), "line": of([*texts, None], pa.string()), "lines": of([*[None] * len(ids), np.array([-1, *ids]).tobytes()], pa.binary())})
+    got = {tuple(sorted(p)) for p in zip(*lines._within(table).to_pydict().values(), strict=True)}
+    sets = [brute.line_shingles(x) for x in texts]
+    want = {(a, b) for b in ids for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert got == want and len(want) >= 10 and len(calls) <= 60
+
+
 def test_line_dedup_of_odd_rows(spark):
     """Repeated rows, columns of clashing names, one very long line, and a text of very many lines."""
     rng = random.Random(31)
